@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayflow.llm.components import connected_components
 from assayflow.llm.consensus import closest_to_consensus
 from assayflow.plans.common import Registry, table
-from assayflow.text import PLACEHOLDERS, is_placeholder
+from assayflow.text import PLACEHOLDERS
 from assayflow.workspace import materialise
 
 registry = Registry()
@@ -17,32 +17,36 @@ TRUST = {"ncbi pathogen detection ast": "3", "biosample antibiogram": "2", "lega
 SIGNS = {"=": "=", "==": "=", "<": "<", "<=": "<=", "=<": "<=", "≤": "<=", ">": ">", ">=": ">=", "=>": ">=", "≥": ">="}
 
 
+BARE = tuple({p.replace(" ", "") for p in PLACEHOLDERS})
+
+
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct rows of normalized_ast as (rid, chk, tier, sign, nano) with their number n."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower("source_ast_record_id"), r"[\s ]+", ""), "^ncbi-ast[-:_]?", "")
-    rid = F.when(~is_placeholder(F.col("source_ast_record_id")) & ~is_placeholder(bare), bare)
-    chk = F.lower(F.trim("source_record_checksum"))
-    chk = F.when(~is_placeholder(chk) & ~chk.rlike("^0*$"), chk)
-    sign = F.try_element_at(F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv]), F.regexp_replace("measurement_sign", r"[\s ]+", ""))
+    """The rows of normalized_ast as (rid, chk, tier, sign, nano); a mere projection, so every use reads the table again."""
+    bare = lambda c: F.translate(F.lower(c), " \t\r\n\u00a0", "")
+    rid = bare("source_ast_record_id")
+    rid = F.when(rid.startswith("ncbi-ast"), F.ltrim(F.substring(rid, 9, 1 << 20), F.lit("-:_"))).otherwise(rid)
+    chk = bare("source_record_checksum")
+    sign = F.try_element_at(F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv]), bare("measurement_sign"))
     usable = (F.col("ast_value") > 0) & (F.col("ast_value") < F.lit(9.2e9))
     nano = F.when(usable & ~F.isnan("ast_value"), F.round(F.col("ast_value") * 1e9).cast("long"))
     trust = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.lower(F.trim("source_dataset"))), F.lit("0"))
     tier = F.concat_ws("|", F.coalesce(F.trim("source_release"), F.lit("")), trust)
-    rows = table(spark, sf_dir, "normalized_ast").select(rid.alias("rid"), chk.alias("chk"), tier.alias("tier"), sign.alias("sign"), nano.alias("nano"))
-    return rows.where("rid is not null or chk is not null").groupBy("rid", "chk", "tier", "sign", "nano").agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "normalized_ast").select(F.when(~rid.isin(*BARE), rid).alias("rid"), F.when(~chk.isin(*BARE) & (F.ltrim(chk, F.lit("0")) != ""), chk).alias("chk"), tier.alias("tier"), sign.alias("sign"), nano.alias("nano"))
+    return rows.where("rid is not null or chk is not null")
 
 
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports with the test they belong to: ids that share a checksum, directly or through others, are one test."""
-    rows, _ = materialise(_reports(spark, sf_dir), "reports")
-    least = rows.where("rid is not null and chk is not null").groupBy("chk").agg(F.min("rid").alias("first"), F.max("rid").alias("last"))
-    least, _ = materialise(least, "checksums")
-    shared = least.where("first <> last").select("chk", "first")
-    ties = rows.where("rid is not null").join(shared, "chk").where("rid <> first").select("rid", "first").distinct()
+    """(test, tier, sign, nano): the rows with the test they belong to. Ids that share a checksum, directly or through others, are
+    one test. Only checksums of several ids, or of rows without an id, are followed further: each other id is its own test.
+    """
+    rows = _reports(spark, sf_dir)
+    by_sum = rows.where("chk is not null").groupBy("chk").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.max(F.col("rid").isNull()).alias("nameless"))
+    by_sum, _ = materialise(by_sum.where("nameless or first <> last"), "checksums")
+    ties = rows.where("rid is not null and chk is not null").select("rid", "chk").join(by_sum.where("first <> last").select("chk", "first"), "chk").where("rid <> first").select("rid", "first").distinct()
     of = connected_components(ties, "rid", "first")
-    by_id = rows.where("rid is not null").withColumn("key", F.col("rid"))
-    by_sum = rows.where("rid is null").join(least.select("chk", "first"), "chk", "left").withColumn("key", F.coalesce("first", F.concat(F.lit("checksum "), "chk")))
-    return by_id.unionByName(by_sum.drop("first")).join(of.withColumnRenamed("id", "key"), "key", "left").withColumn("test", F.coalesce("component", "key")).drop("key", "component")
+    named = rows.where("rid is not null").select(F.col("rid").alias("key"), "tier", "sign", "nano")
+    nameless = rows.where("rid is null").join(by_sum.where("nameless").select("chk", "first"), "chk").select(F.coalesce("first", F.concat(F.lit("checksum "), "chk")).alias("key"), "tier", "sign", "nano")
+    return named.unionByName(nameless).join(of.withColumnRenamed("id", "key"), "key", "left").select(F.coalesce("component", "key").alias("test"), "tier", "sign", "nano")
 
 
 _blank = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
@@ -72,12 +76,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     Where all usable signs (values) of a test agree there is nothing to align; the others go through the consensus.
     """
     rows, _ = materialise(tests(spark, sf_dir), "tests")
-    all_of = rows.groupBy("test").agg(F.sum("n").alias("n"), F.min("sign").alias("s1"), F.max("sign").alias("s2"), F.min("nano").alias("v1"), F.max("nano").alias("v2")).where("n > 1")
+    all_of = rows.groupBy("test").agg(F.count("*").alias("n"), F.min("sign").alias("s1"), F.max("sign").alias("s2"), F.min("nano").alias("v1"), F.max("nano").alias("v2")).where("n > 1")
     all_of, _ = materialise(all_of, "agreed")
-    disputed = lambda a, b: all_of.where(f"{a} <> {b}").select("test")
-    signs = rows.where("sign is not null").join(disputed("s1", "s2"), "test", "left_semi").select(F.concat(F.lit("s"), "test").alias("g"), F.col("sign").alias("v"), "tier", "n")
-    values = rows.where("nano is not null").join(disputed("v1", "v2"), "test", "left_semi").select(F.concat(F.lit("v"), "test").alias("g"), F.col("nano").cast("string").alias("v"), "tier", "n")
-    chosen = closest_to_consensus(signs.unionByName(values), "g", "v", "tier", "n")
+    disputed = all_of.where("s1 <> s2 or v1 <> v2").select("test", (F.col("s1") != F.col("s2")).alias("s"), (F.col("v1") != F.col("v2")).alias("v"))
+    reports = F.array(F.struct(F.when(F.col("s"), F.col("sign")).alias("v"), F.lit("s").alias("of")), F.struct(F.when(F.col("v"), F.col("nano").cast("string")).alias("v"), F.lit("v").alias("of")))
+    votes = rows.join(disputed, "test").select("test", "tier", F.explode(reports).alias("r")).where("r.v is not null").select(F.concat("r.of", "test").alias("g"), "r.v", "tier", F.lit(1).alias("n"))
+    chosen = closest_to_consensus(votes, "g", "v", "tier", "n")
     pick = chosen.groupBy(F.substring("g", 2, 1 << 30).alias("test")).agg(F.max(F.when(F.col("g").startswith("s"), F.col("v"))).alias("s"), F.max(F.when(F.col("g").startswith("v"), F.col("v"))).alias("v"))
     return all_of.join(pick, "test", "left").select(F.col("test").alias("record_id"), F.coalesce("s", "s1", F.lit("")).alias("measurement_sign"), F.coalesce(F.col("v").try_cast("long"), "v1", F.lit(-1)).alias("value_nano"))
 
@@ -85,5 +89,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p2_disputes")
 def p2_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By latest release: tests of several rows, and those whose usable signs or values differ."""
-    all_of = tests(spark, sf_dir).groupBy("test").agg(F.sum("n").alias("n"), F.max("tier").alias("tier"), F.min("sign").alias("s1"), F.max("sign").alias("s2"), F.min("nano").alias("v1"), F.max("nano").alias("v2")).where("n > 1")
+    all_of = tests(spark, sf_dir).groupBy("test").agg(F.count("*").alias("n"), F.max("tier").alias("tier"), F.min("sign").alias("s1"), F.max("sign").alias("s2"), F.min("nano").alias("v1"), F.max("nano").alias("v2")).where("n > 1")
     return all_of.groupBy(F.substring_index("tier", "|", 1).alias("source_release")).agg(F.count("*").alias("n_tests"), F.count(F.when(F.col("s1") != F.col("s2"), 1)).alias("n_sign_disputes"), F.count(F.when(F.col("v1") != F.col("v2"), 1)).alias("n_value_disputes"))
