@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_groups", "q_records", "q_places", "q_tokens", "q_leaks", "q_language"]
+MODULES = ["q_groups", "q_records", "q_places", "q_matching", "q_tokens", "q_leaks", "q_language"]
 REGISTRIES = [importlib.import_module(f"assayflow.llm.{m}").registry for m in MODULES]
 
 
