@@ -30,3 +30,16 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_label(c: str) -> str:
+    """SQL for text.label_key, for labels of ASCII letters and digits."""
+    from assayflow.text import PLACEHOLDERS
+
+    blank = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
+    return f"case when lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) not in ({blank}) then regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') end"
+
+
+def sql_hash(text: str) -> str:
+    """SQL for resample.hash_number of one text."""
+    return f"('0x' || substr(sha256({text}), 1, 8))::ubigint::bigint"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayflow.plans import timestamps
+from assayflow.plans import measures, tables, timestamps
 
-REGISTRIES = [timestamps.registry]
+REGISTRIES = [measures.registry, tables.registry, timestamps.registry]
 
 
 def queries() -> dict:
