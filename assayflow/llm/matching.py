@@ -27,21 +27,17 @@ def others(pairs: DataFrame, key: str, weight: Column) -> DataFrame:
 
 
 def group_messages(pairs: DataFrame, belief: Column, most: float) -> DataFrame:
-    """pairs with g: what the other rows of the row's group say for the pair's entity, against all other entities and none."""
-    v = pairs.withColumn("__b", belief)
-    row = v.groupBy("grp", "a", "z").agg(F.max("__b").alias("__b")).withColumn("v", F.log1p(F.exp(bounded(F.col("__b")))))
-    total = row.groupBy("grp", "z").agg(F.sum("v").alias("all_v"))
-    row = row.join(total, ["grp", "z"]).withColumn("rest", F.col("all_v") - F.col("v"))
-    # weight of all entities for a row: of those its own pairs name without its own part, of the others in full
-    full = total.groupBy("grp").agg(F.sum(F.exp(bounded(F.col("all_v")))).alias("T"))
-    own = row.groupBy("grp", "a").agg(F.sum(F.exp(bounded(F.col("all_v")))).alias("O"), F.sum(F.exp(bounded("rest"))).alias("R"))
-    row = row.select("grp", "a", "z", "rest").join(own, ["grp", "a"]).join(full, "grp")
-    against = F.greatest(F.lit(0.0), F.col("T") - F.col("O")) + F.greatest(F.lit(0.0), F.col("R") - F.exp(bounded(F.col("rest"))))
-    message = F.greatest(F.lit(-most), F.least(F.lit(most), bounded(F.col("rest")) - F.log1p(against)))
-    return pairs.drop("g").join(row.select("grp", "a", "z", message.alias("g")), ["grp", "a", "z"])
-
-
-def propagate(candidates: DataFrame, damping: float = 0.3, tolerance: float = 0.01, most_rounds: int = 40, group_most: float = 8.0) -> DataFrame:
+    """pairs with g: what the other pairs of the group say for the pair's entity, against all other entities and none."""
+    v = pairs.withColumn("__v", F.log1p(F.exp(bounded(belief))))
+    entity = v.groupBy("grp", "z").agg(F.sum("__v").alias("__all"))
+    group = entity.groupBy("grp").agg(F.sum(F.exp(bounded(F.col("__all")))).alias("__sum"))
+    j = v.join(entity, ["grp", "z"]).join(group, "grp")
+    against = F.greatest(F.lit(0.0), F.col("__sum") - F.exp(bounded(F.col("__all"))))
+    message = F.col("__all") - F.col("__v") - F.log1p(against)
+    return j.withColumn("g", F.greatest(F.lit(-most), F.least(F.lit(most), message))).drop("__v", "__all", "__sum")
+
+
+def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.05, most_rounds: int = 40, group_most: float = 8.0) -> DataFrame:
     """(a, b, probability) of candidates(a, b, grp, z, s): rows a and b with log odds s; grp is the group of a, z the entity of b.
 
     Each pair comes once; a null grp is a group of the row alone. Rounds end when no message changes by more than the tolerance. An empty table
