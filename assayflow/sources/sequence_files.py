@@ -36,4 +36,4 @@ def panel_genes(gff: DataFrame, genes: list[str]) -> DataFrame:
     """One row for each gene of a panel; a gene without a feature, or with several, is refused by its count."""
     wanted = gff.sparkSession.createDataFrame([(g,) for g in genes], "gene string")
     rows = gff.where(F.col("type") == "gene").select(F.coalesce(F.try_element_at("attributes", F.lit("gene")), F.try_element_at("attributes", F.lit("Name"))).alias("gene"), "contig", "start", "end", "strand")
-    return F.broadcast(wanted).join(rows, "gene", "left").groupBy("gene").agg(F.count("contig").alias("n_features"), F.min(F.struct("contig", "start", "end", "strand")).alias("locus"))
+    return F.broadcast(wanted).join(rows, "gene", "left").groupBy("gene").agg(F.count("contig").alias("n_features"), F.min(F.when(F.col("contig").isNotNull(), F.struct("contig", "start", "end", "strand"))).alias("locus"))
