@@ -3,6 +3,9 @@
 Each candidate pair is a binary variable with log odds from its fields. One factor for each row of either side allows at most
 one partner, and one for each group of rows (that share an unseen entity) says that they have the same entity of the other side. Messages are
 exchanged through aggregates and joins until they no longer change; the beliefs are marginal match probabilities.
+
+The joins are of tables of like size on one key, so they are asked to merge: broadcasting small ones in every round would
+only fill the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ def others(pairs: DataFrame, key: str, weight: Column) -> DataFrame:
     """pairs with __rest: the sum of the weights of the other pairs of the same key, never below zero."""
     w = pairs.withColumn("__w", weight)
     total = w.groupBy(key).agg(F.sum("__w").alias("__sum"))
-    return w.join(total, key).withColumn("__rest", F.greatest(F.lit(0.0), F.col("__sum") - F.col("__w"))).drop("__sum", "__w")
+    return w.join(total.hint("merge"), key).withColumn("__rest", F.greatest(F.lit(0.0), F.col("__sum") - F.col("__w"))).drop("__sum", "__w")
 
 
 def group_messages(pairs: DataFrame, belief: Column, most: float) -> DataFrame:
@@ -31,22 +34,32 @@ def group_messages(pairs: DataFrame, belief: Column, most: float) -> DataFrame:
     v = pairs.withColumn("__v", F.log1p(F.exp(bounded(belief))))
     entity = v.groupBy("grp", "z").agg(F.sum("__v").alias("__all"))
     group = entity.groupBy("grp").agg(F.sum(F.exp(bounded(F.col("__all")))).alias("__sum"))
-    j = v.join(entity, ["grp", "z"]).join(group, "grp")
+    j = v.join(entity.hint("merge"), ["grp", "z"]).join(group.hint("merge"), "grp")
     against = F.greatest(F.lit(0.0), F.col("__sum") - F.exp(bounded(F.col("__all"))))
     message = F.col("__all") - F.col("__v") - F.log1p(against)
     return j.withColumn("g", F.greatest(F.lit(-most), F.least(F.lit(most), message))).drop("__v", "__all", "__sum")
 
 
+def contested_groups(p: DataFrame) -> DataFrame:
+    """(grp) of the groups in which a row of either side has several candidates, or whose pairs name several entities. A row b that
+    two groups claim contests both, so no message leaves the other groups."""
+    rivals = lambda k: p.groupBy(k).agg(F.count("*").alias("__n")).where("__n > 1").select(k)
+    several = p.groupBy("grp").agg(F.min("z").alias("__lo"), F.max("z").alias("__hi")).where("__lo <> __hi").select("grp")
+    return p.join(rivals("a").hint("merge"), "a", "left_semi").select("grp").unionByName(p.join(rivals("b").hint("merge"), "b", "left_semi").select("grp")).unionByName(several).distinct()
+
+
 def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.05, most_rounds: int = 40, group_most: float = 8.0) -> DataFrame:
     """(a, b, probability) of candidates(a, b, grp, z, s): rows a and b with log odds s; grp is the group of a, z the entity of b.
 
-    Each pair comes once; a null grp is a group of the row alone. Rounds end when no message changes by more than the tolerance. An empty table
-    gives an empty one. Ties (equal rows) share the probability.
+    Each pair comes once; a null grp is a group of the row alone. Groups without rivals have their messages after one round; the others go on
+    until no message changes by more than the tolerance. An empty table gives an empty one. Ties (equal rows) share the probability.
     """
     spark = candidates.sparkSession
     zero = F.lit(0.0)
-    p = candidates.select("a", "b", F.coalesce("grp", F.concat(F.lit("row "), F.col("a"))).alias("grp"), "z", F.col("s").cast("double").alias("s"))
-    p, path = materialise(p.withColumn("g", zero).withColumn("x", zero).withColumn("y", zero), "pairs")
+    pairs, _ = materialise(candidates.select("a", "b", F.coalesce("grp", F.concat(F.lit("row "), F.col("a"))).alias("grp"), "z", F.col("s").cast("double").alias("s")), "pairs")
+    contested, _ = materialise(contested_groups(pairs), "contested")
+    calm = group_messages(pairs.join(contested.hint("merge"), "grp", "left_anti").withColumn("g", zero), F.col("s"), group_most).withColumns({"x": zero, "y": zero})
+    p, path = materialise(pairs.join(contested.hint("merge"), "grp", "left_semi").withColumns({"g": zero, "x": zero, "y": zero}), "pairs")
     for _ in range(most_rounds):
         n = group_messages(p.withColumn("g0", F.col("g")), F.col("s") + F.col("y"), group_most)
         n = n.withColumn("g", F.col("g0") * damping + F.col("g") * (1 - damping)).drop("g0")
@@ -58,11 +71,15 @@ def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.
         p, path = n.drop("move"), new
         if moved is None or moved < tolerance:
             break
-    return p.select("a", "b", (1 / (1 + F.exp(-bounded(F.col("s") + F.col("g") + F.col("x") + F.col("y"))))).alias("probability"))
+    both = p.unionByName(calm.select(*p.columns))
+    out, _ = materialise(both.select("a", "b", (1 / (1 + F.exp(-bounded(F.col("s") + F.col("g") + F.col("x") + F.col("y"))))).alias("probability")), "beliefs")
+    discard(spark, path)
+    return out
 
 
 def one_to_one(scored: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of at least the given probability that are the best of both their rows; equal ones go by the names of the rows."""
     s = scored.where(F.col("probability") >= least)
-    top = lambda k, o: s.groupBy(k).agg(F.max_by(o, F.struct("probability", o)).alias(o))
-    return s.join(top("a", "b"), ["a", "b"], "left_semi").join(top("b", "a"), ["a", "b"], "left_semi")
+    best_b = s.groupBy("a").agg(F.max_by("b", F.struct("probability", "b")).alias("b"))
+    best_a = s.groupBy("b").agg(F.max_by("a", F.struct("probability", "a")).alias("a"))
+    return s.join(best_b.join(best_a.hint("merge"), ["a", "b"]).hint("merge"), ["a", "b"])

@@ -68,13 +68,13 @@ def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     acc = F.upper(F.regexp_replace("biosample_accession", r"[\s ]+", ""))
     acc = F.when(~is_placeholder(F.col("biosample_accession")), F.regexp_replace(F.regexp_replace(acc, r"^BIOSAMPLE:", ""), r"\.\d+$", ""))
     digits = F.regexp_extract(acc, r"(\d+(?:X\d+)?)$", 1)
-    rows = raw.join(drugs, "antibiotic_raw", "left").select(
+    rows, _ = materialise(raw.join(drugs, "antibiotic_raw", "left").select(
         F.col("antibiogram_row_id").alias("a"), F.col("biosample_record_xml_sha256").alias("grp"), "drug", value.alias("v"), sign.alias("sign"), F.substring(filled("resistance_phenotype_raw"), 1, 1).alias("sir"),
         lookup(filled("laboratory_typing_method_raw"), METHODS).alias("method"), filled("laboratory_typing_platform_raw").alias("platform"), F.to_date("on").alias("day"), F.when(digits != "", digits).alias("own"),
-    )
+    ), "rows")
     # a record has one accession, and mostly one date: rows that lack them take the record's
     record = rows.where("grp is not null").groupBy("grp").agg(F.max(F.struct(F.length("own").alias("n"), "own"))["own"].alias("number"), F.min("day").alias("d1"), F.max("day").alias("d2"))
-    return rows.join(record, "grp", "left").withColumn("number", F.coalesce("number", "own")).withColumn("day", F.coalesce("day", F.when(F.col("d1") == F.col("d2"), F.col("d1")))).drop("own", "d1", "d2")
+    return rows.join(record.hint("merge"), "grp", "left").withColumn("number", F.coalesce("number", "own")).withColumn("day", F.coalesce("day", F.when(F.col("d1") == F.col("d2"), F.col("d1")))).drop("own", "d1", "d2")
 
 
 def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +86,12 @@ def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     instant = F.try_to_timestamp("on")
     wall = F.date_from_unix_date(F.floor(F.unix_seconds(F.when(F.col("time_zone").isNotNull(), F.from_utc_timestamp(instant, F.col("time_zone"))).otherwise(instant)) / 86400).cast("int"))
     day = F.when(F.length("on") == 10, F.to_date(F.when(F.length("on") == 10, F.col("on")))).when(F.length("on") > 10, wall)
-    rows = raw.select(
+    rows, _ = materialise(raw.select(
         F.col("id").alias("b"), F.coalesce("isolate", "biosample", "id").alias("z"), F.lower(F.trim("antibiotic")).alias("drug"), F.col("mic_mg_l").try_cast("double").alias("v"), lookup(F.regexp_replace("measurement_sign", r"\s+", ""), SIGNS).alias("sign"), F.substring(filled("resistance_phenotype"), 1, 1).alias("sir"),
         lookup(filled("laboratory_typing_method"), METHODS).alias("method"), filled("laboratory_typing_platform").alias("platform"), day.alias("day"), F.regexp_extract("biosample", r"(\d+)(?:\.\d+)?$", 1).alias("own"),
-    )
+    ), "rows")
     sample = rows.where("own <> ''").groupBy("z").agg(F.min("own").alias("number"))
-    return rows.drop("own").join(sample, "z", "left")
+    return rows.drop("own").join(sample.hint("merge"), "z", "left")
 
 
 def agree(c: str) -> Column:
@@ -117,23 +117,18 @@ def key(*parts: Column) -> Column:
 
 
 def first_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b): pairs of the same drug that share a number, or the end of one, and a day or a value; or a day, a value and a method."""
-    n, day, step = F.col("number"), F.col("day"), bin_of(F.col("v"))
-    a_number = F.when(n.contains("X"), F.lit(None)).when(F.length(n) >= 9, F.concat(F.lit("n"), n)).when(F.length(n) == 6, F.concat(F.lit("6"), n)).when(F.length(n) == 5, F.concat(F.lit("5"), n))
-    b_numbers = F.array(F.concat(F.lit("n"), n), F.concat(F.lit("6"), F.substring(n, -6, 6)), F.concat(F.lit("5"), F.substring(n, -5, 5)))
-    place = key(F.lit("p"), day, step, F.col("method"))
-    shared = lambda number: [key(number, F.lit("d"), day), key(number, F.lit("v"), step)]
-    ka = a.where("drug is not null").select("a", "drug", F.explode(F.array_compact(F.array(*shared(a_number), place))).alias("k"))
-    num = F.col("num")
-    kb = b.withColumn("num", F.explode_outer(F.when(n.isNotNull(), b_numbers))).select("b", "drug", F.explode(F.array_compact(F.array(*shared(num), F.when(num.isNull() | num.startswith("n"), place)))).alias("k"))
-    return ka.join(kb, ["drug", "k"]).select("a", "b").distinct()
+    """(a, b): pairs of the same drug that share the end of a number and a day or a value; or a day, a value and a method."""
+    day, step = F.col("day"), bin_of(F.col("v"))
+    end = F.when(F.regexp_like("number", F.lit(r"\d{5}$")), F.substring("number", -5, 5))
+    keys = F.explode(F.array_compact(F.array(key(end, F.lit("d"), day), key(end, F.lit("v"), step), key(F.lit("p"), day, step, F.col("method")))))
+    return a.where("drug is not null").select("a", "drug", keys.alias("k")).join(b.select("b", "drug", keys.alias("k")), ["drug", "k"]).select("a", "b").distinct()
 
 
 def pairs_within(a: DataFrame, b: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): pairs of the same drug in the given groups and entities (grp, z) that share a day, a value give or take a step, or, for rows that lack one of these, a method."""
     day, step, method = F.col("day"), bin_of(F.col("v")), F.col("method")
     bare = day.isNull() | step.isNull()
-    ka = a.where("drug is not null").join(groups, "grp").select("a", "z", "drug", F.explode(F.array_compact(F.array(key(F.lit("d"), day), *[key(F.lit("v"), step + k) for k in (-1, 0, 1)], F.when(bare, key(F.lit("m"), method))))).alias("k"))
+    ka = a.where("drug is not null").join(groups.hint("merge"), "grp").select("a", "z", "drug", F.explode(F.array_compact(F.array(key(F.lit("d"), day), *[key(F.lit("v"), step + k) for k in (-1, 0, 1)], F.when(bare, key(F.lit("m"), method))))).alias("k"))
     kb = b.select("b", "z", "drug", F.explode(F.array_compact(F.array(key(F.lit("d"), day), key(F.lit("v"), step), key(F.lit("m"), method)))).alias("k"))
     return ka.join(kb, ["z", "drug", "k"]).select("a", "b").distinct()
 
@@ -141,19 +136,19 @@ def pairs_within(a: DataFrame, b: DataFrame, groups: DataFrame) -> DataFrame:
 def scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, grp, z, s)."""
     side = lambda d, s, keep: d.select(*keep, *[F.col(c).alias(f"{s}_{c}") for c in ("number", "v", "sign", "sir", "method", "platform", "day")])
-    return pairs.join(side(a, "a", ["a", "grp"]), "a").join(side(b, "b", ["b", "z"]), "b").select("a", "b", "grp", "z", log_odds().alias("s"))
+    return pairs.join(side(a, "a", ["a", "grp"]).hint("merge"), "a").join(side(b, "b", ["b", "z"]).hint("merge"), "b").select("a", "b", "grp", "z", log_odds().alias("s"))
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, probability) of all candidate pairs after belief propagation."""
     a, _ = materialise(submitted(spark, sf_dir), "submitted")
     b, _ = materialise(tested(spark, sf_dir), "tested")
-    first, _ = materialise(scored(first_pairs(a, b), a, b), "candidates")
+    first, _ = materialise(scored(first_pairs(a, b), a, b).where("s > -9"), "candidates")
     # of a record only samples whose pairs together come near the best of its samples stay; there, weaker pairs join in
     best = first.groupBy("grp", "z", "a").agg(F.max("s").alias("s")).groupBy("grp", "z").agg(F.sum(F.log1p(F.exp("s"))).alias("v"))
     top = best.where("grp is not null").groupBy("grp").agg(F.max("v").alias("top"))
-    kept, _ = materialise(best.join(top, "grp").where(F.col("v") >= F.col("top") - BEYOND).select("grp", "z"), "kept")
-    near = first.join(kept, ["grp", "z"], "left_semi").select("a", "b")
+    kept, _ = materialise(best.join(top.hint("merge"), "grp").where(F.col("v") >= F.col("top") - BEYOND).select("grp", "z"), "kept")
+    near = first.join(kept.hint("merge"), ["grp", "z"], "left_semi").select("a", "b")
     pairs = near.unionByName(pairs_within(a, b, kept)).distinct()
     return propagate(scored(pairs, a, b).unionByName(first.where("grp is null")).where("s > -9"))
 
