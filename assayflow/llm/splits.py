@@ -86,7 +86,7 @@ def deal(units: DataFrame, unit: str, size: str, splits: Sequence[tuple[str, flo
     dealt at even steps, so that each band meets the proportions to within one unit.
 
     A unit's place is its rank in a hash bucket plus the sizes of the buckets before it: no band is sorted in one task.
-    Equal units (repeats) get the same split. An empty table gives an empty one.
+    Equal units (repeats) get the same split; a column split is replaced. An empty table gives an empty one.
     """
     total = sum(p for _, p in splits)
     u = units.select(F.col(f"`{unit}`").alias("unit"), F.floor(F.log2(F.col(f"`{size}`").cast("double"))).cast("int").alias("band")).distinct()
@@ -101,4 +101,4 @@ def deal(units: DataFrame, unit: str, size: str, splits: Sequence[tuple[str, flo
     for name, part in splits:
         edge += part / total
         names = F.when(at < edge, name) if names is None else names.when(at < edge, name)
-    return units.join(placed.select(F.col("unit").alias(unit), names.otherwise(splits[-1][0]).alias("split")), unit)
+    return units.drop("split").join(placed.select(F.col("unit").alias(unit), names.otherwise(splits[-1][0]).alias("split")), unit)
