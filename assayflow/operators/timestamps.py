@@ -76,9 +76,13 @@ def interval_table(spark: SparkSession, zones: list[str], first: int = 1900, las
     return spark.createDataFrame(rows, "__zone string, __year int, __spans array<struct<a:long,b:long,o:int>>")
 
 
-def _parse(text: Column, order: Column) -> Column:
-    """Struct of the parts of a date text. kind: y, ym, ymd, local (wall time), instant (seconds); null if it can't be read."""
-    t = F.lower(F.translate(spaced(text), "ÀÁÂÃÄàáâãäÉÈÊëéèêÛÜÙûüùÔÖÓôöóÇç", "AAAAAaaaaaEEEeeeeUUUuuuOOOoooCc"))
+def _plain(text: Column) -> Column:
+    """Lower case, single blanks, no accents."""
+    return F.lower(F.translate(spaced(text), "ÀÁÂÃÄàáâãäÉÈÊëéèêÛÜÙûüùÔÖÓôöóÇç", "AAAAAaaaaaEEEeeeeUUUuuuOOOoooCc"))
+
+
+def _parse(t: Column, order: Column) -> Column:
+    """Struct of the parts of a plain date text. kind: y, ym, ymd, local (wall time), instant (seconds); null if it can't be read."""
     i = lambda p, g: F.regexp_extract(t, p, g).try_cast("int")
     s = lambda p, g: F.regexp_extract(t, p, g)
     month_of = F.create_map(*[F.lit(x) for k, names in MONTHS.items() for n in names.split() for x in (n, k)])
@@ -159,19 +163,21 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
     YYYY, YYYY-MM or YYYY-MM-DD come out as written; a time comes out as YYYY-MM-DDTHH:MM:SSZ in UTC, fractions dropped.
     A wall time that occurs twice is the earlier instant; a skipped one takes the offset in force before the change.
     Null: null, blank, placeholder and unreadable texts, impossible dates, spans, and texts that need a zone or an order
-    where it is null or unknown. Rows, their other columns and repeats stay. zones: the zones that may occur; by default
+    where it is null or unknown. Rows, their other columns and repeats stay; a column named as the result is replaced. zones: the zones that may occur; by default
     they are read from the zone column (their number is bounded by the tz database).
     """
     spark = df.sparkSession
-    taken = {c.lower() for c in df.columns} - {into.lower()}
-    if clash := taken & {"__ts", "__zone", "__year", "__spans", "__secs"}:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    own = "__ts"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own = "_" + own
+    plain, ts, zone_, year, spans_, secs_ = (f"{own}_{k}" for k in ("plain", "parts", "zone", "year", "spans", "secs"))
     if zones is None:
         known = zoneinfo.available_timezones()
         zones = [] if zone is None else [r[0] for r in df.select(F.col(zone)).distinct().limit(len(known) + 1).collect() if r[0] in known]
     null = F.lit(None).cast("string")
-    p = df.withColumn("__ts", _parse(F.col(text), F.lower(F.trim(F.col(order))) if order else null))
-    x = lambda k: F.col(f"__ts.{k}")
+    # the plain text and its parts are columns of their own, so that the plan holds each expression once
+    p = df.withColumn(plain, _plain(F.col(f"`{text}`"))).withColumn(ts, _parse(F.col(plain), F.lower(F.trim(F.col(f"`{order}`"))) if order else null))
+    x = lambda k: F.col(f"{ts}.{k}")
     kind = x("kind")
     dated = kind.isin("y", "ym", "ymd", "local") & is_date(x("y"), x("m"), x("d"))
     timed = x("h").between(0, 23) & x("mi").between(0, 59) & x("s").between(0, 59)
@@ -181,12 +187,12 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
     minutes = F.when(x("zone").rlike(r"^[+-]"), (digits.substr(1, 2).try_cast("int") * 60 + F.coalesce(digits.substr(3, 2).try_cast("int"), F.lit(0))) * F.when(x("zone").startswith("-"), -1).otherwise(1)).otherwise(F.try_element_at(abbreviations, x("zone")))
     minutes = F.when(minutes.between(-18 * 60, 18 * 60), minutes)
     local = x("zone").isNull()
-    p = p.withColumn("__secs", secs)
-    p = p.withColumn("__year", F.when(local & F.col("__secs").isNotNull(), F.year(F.date_from_unix_date(idiv(F.col("__secs"), 86400).cast("int")))))
-    p = p.withColumn("__zone", F.col(zone) if zone else null)
-    table = interval_table(spark, zones)  # at most the tz database: some 600 zones of 200 years
-    p = p.join(F.broadcast(table) if len(zones) <= 100 else table, ["__zone", "__year"], "left")
-    L, spans = F.col("__secs"), F.col("__spans")
+    p = p.withColumn(secs_, secs)
+    p = p.withColumn(year, F.when(local & F.col(secs_).isNotNull(), F.year(F.date_from_unix_date(idiv(F.col(secs_), 86400).cast("int")))))
+    p = p.withColumn(zone_, F.col(f"`{zone}`") if zone else null)
+    table = interval_table(spark, zones).toDF(zone_, year, spans_)  # at most the tz database: some 600 zones of 200 years
+    p = p.join(F.broadcast(table) if len(zones) <= 100 else table, [zone_, year], "left")
+    L, spans = F.col(secs_), F.col(spans_)
     holding = F.filter(spans, lambda v: (v.a <= L) & (L < v.b))
     before = F.filter(spans, lambda v: v.b <= L)
     offset = F.when(F.size(holding) > 0, F.array_max(F.transform(holding, lambda v: v.o))).otherwise(F.try_element_at(F.transform(before, lambda v: v.o), F.lit(-1)))
@@ -201,5 +207,5 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
         .when(kind.isin("instant", "serial", "local"), instant_text(instant))
     )
     if order:
-        value = F.when(~(x("needs") & (F.col(order).isNull())), value)
-    return p.withColumn("__value", value).select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.col("__value").alias(into))
+        value = F.when(~(x("needs") & F.col(f"`{order}`").isNull()), value)
+    return p.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()], value.alias(into))

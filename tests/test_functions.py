@@ -70,6 +70,9 @@ def test_timestamps_without_site(spark):
     df = spark.createDataFrame([(t, None, None) for t in ("2014-09-22", "03/04/2016", "2020-01-01 10:00", "2020-01-01T10:00:00Z", "41298.50")], "t string, z string, o string")
     assert [r.normalised for r in normalise_timestamps(df, "t", "z", "o").collect()] == ["2014-09-22", None, None, "2020-01-01T10:00:00Z", None]
     assert normalise_timestamps(df.limit(0), "t", "z", "o").count() == 0
+    clash = df.selectExpr("t", "t as __ts", "z as __ts_zone", "o as __ts_parts", "o as `a b`")
+    got = normalise_timestamps(clash, "__ts", "__ts_zone", "__ts_parts")
+    assert got.columns == ["t", "__ts", "__ts_zone", "__ts_parts", "a b", "normalised"] and got.where("normalised is not null").count() == 2
 
 
 def test_wall_times_against_zoneinfo(spark):
