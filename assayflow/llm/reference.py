@@ -199,7 +199,8 @@ def map_to_reference(df: DataFrame, text: str, reference: DataFrame, name: str,
     entries don't matter; an empty list maps nothing.
     """
     spark = df.sparkSession
-    texts = df.select(F.col(f"`{text}`").alias("t")).where("t is not null").distinct()
+    # few bytes but much work each: spread them, or adaptive execution would join them into one task
+    texts = df.select(F.col(f"`{text}`").alias("t")).where("t is not null").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "t")
     names = sorted({r[0] for r in reference.select(name).where(F.col(name).isNotNull()).toLocalIterator()})
     found = None
     for at in range(0, max(1, len(names)), SHARD):
