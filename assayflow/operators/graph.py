@@ -39,10 +39,10 @@ def linked_groups(pairs: DataFrame, a: str, b: str, members: DataFrame | None =
     return root.join(sizes, "root").select("id", "root", "size")
 
 
-def dense_labels(df: DataFrame, root: str, pattern: str, into: str = "label", buckets: int = 256) -> DataFrame:
+def dense_labels(df: DataFrame, root: str, pattern: str, into: str = "label") -> DataFrame:
     """df with consecutive labels by the order of its roots. Roots are ranked within ranges of their own and the ranges' sizes are
     added, so no task orders all of them."""
-    roots = df.select(F.col(root).alias("r")).where("r is not null").distinct().repartitionByRange(buckets, "r").withColumn("part", F.spark_partition_id())
+    roots = df.select(F.col(root).alias("r")).where("r is not null").distinct().repartitionByRange("r").withColumn("part", F.spark_partition_id())
     roots, _ = materialise(roots, "ranges")
     n = roots.groupBy("part").agg(F.count("*").alias("n"))
     before = n.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row for each range
