@@ -1,4 +1,4 @@
-"""Groups of linked identifiers: least-label propagation with pointer jumping, and what is built on it."""
+"""Groups of linked identifiers: roots hooked to lesser roots, with pointer jumping, and what is built on it."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from assayflow.workspace import discard, materialise
 def linked_groups(pairs: DataFrame, a: str, b: str, members: DataFrame | None = None, member: str = "id") -> DataFrame:
     """(id, root, size): the least identifier that each one is linked to, directly or through others, and the number of its group.
 
-    Every round takes the least root of the neighbours and then the root's root, so chains shorten by half. Members without a pair are
-    groups of their own; pairs with a null end link nothing.
+    Every round hooks each root to the least root that a neighbour of its members has, and then jumps two steps up, so chains shorten
+    fourfold. Members without a pair are groups of their own; pairs with a null end link nothing.
     """
     spark = pairs.sparkSession
     p = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
@@ -25,15 +25,17 @@ def linked_groups(pairs: DataFrame, a: str, b: str, members: DataFrame | None =
         nodes = nodes.unionByName(members.select(F.col(member).alias("id")).where("id is not null"))
     root, path = materialise(nodes.distinct().withColumn("root", F.col("id")), "roots")
     while True:
-        near = both.join(root.select(F.col("id").alias("y"), "root"), "y").groupBy(F.col("x").alias("id")).agg(F.min("root").alias("near"))
-        step = root.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        up = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        moved, new = materialise(step.join(up, "root").select("id", "old", F.col("up").alias("root")), "roots")
-        changed = moved.where("root <> old").limit(1).count()
-        discard(spark, path)
-        root, path = moved.select("id", "root"), new
-        if not changed:
+        of = lambda k, r: root.select(F.col("id").alias(k), F.col("root").alias(r))  # noqa: B023, E731
+        hook = both.join(of("y", "ry"), "y").join(of("x", "rx"), "x").where("ry < rx").groupBy("rx").agg(F.min("ry").alias("p"))
+        hook, hpath = materialise(hook, "hooks")
+        if not hook.limit(1).count():
+            discard(spark, hpath)
             break
+        up = lambda h: h.join(h.select(F.col("rx").alias("p"), F.col("p").alias("pp")), "p", "left").select("rx", F.coalesce("pp", "p").alias("p"))
+        moved = root.join(up(up(hook)).withColumnRenamed("rx", "root"), "root", "left").select("id", F.coalesce("p", "root").alias("root"))
+        moved, new = materialise(moved, "roots")
+        discard(spark, path, hpath)
+        root, path = moved, new
     discard(spark, bpath)
     sizes = root.groupBy("root").agg(F.count("*").alias("size"))
     return root.join(sizes, "root").select("id", "root", "size")
