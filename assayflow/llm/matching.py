@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assayflow.workspace import discard, materialise
 
@@ -30,14 +31,28 @@ def others(pairs: DataFrame, key: str, weight: Column) -> DataFrame:
 
 
 def group_messages(pairs: DataFrame, belief: Column, most: float) -> DataFrame:
-    """pairs with g: what the other pairs of the group say for the pair's entity, against all other entities and none."""
-    v = pairs.withColumn("__v", F.log1p(F.exp(bounded(belief))))
-    entity = v.groupBy("grp", "z").agg(F.sum("__v").alias("__all"))
-    group = entity.groupBy("grp").agg(F.sum(F.exp(bounded(F.col("__all")))).alias("__sum"))
-    j = v.join(entity.hint("merge"), ["grp", "z"]).join(group.hint("merge"), "grp")
-    against = F.greatest(F.lit(0.0), F.col("__sum") - F.exp(bounded(F.col("__all"))))
-    message = F.col("__all") - F.col("__v") - F.log1p(against)
-    return j.withColumn("g", F.greatest(F.lit(-most), F.least(F.lit(most), message))).drop("__v", "__all", "__sum")
+    """pairs with g: what the other rows of the row's group say for the pair's entity, against all other entities and none.
+
+    A row counts once for an entity, by its best pair, and none of its pairs has a part in its own messages: a row alone in its group gets
+    none. Weights are relative to the group's heaviest entity, so that large groups meet no bound. The pairs of a group meet in one task,
+    where windows take the sums (and spill); a group is a record, of tens of rows.
+    """
+    of_row, of_entity, of_group, of_part = (Window.partitionBy(*k) for k in (["grp", "a"], ["grp", "z"], ["grp"], ["grp", "a", "z"]))
+    weight = lambda c: F.exp(c - F.col("__top"))
+    v = pairs.repartition("grp").withColumn("__v", F.log1p(F.exp(bounded(belief))))
+    v = v.withColumns({"__v": F.max("__v").over(of_part), "__n": F.count("*").over(of_part)})
+    v = v.withColumns({"__all": F.sum(F.col("__v") / F.col("__n")).over(of_entity), "__m": F.count("*").over(of_entity), "__alone": F.count("*").over(of_row) == F.count("*").over(of_group)})
+    v = v.withColumns({"__top": F.max("__all").over(of_group), "__rest": F.greatest(F.lit(0.0), F.col("__all") - F.col("__v"))})
+    # weight of all entities for a row: of those its own pairs name without its own part, of the others in full
+    v = v.withColumns({
+        "__full": F.sum(weight(F.col("__all")) / F.col("__m")).over(of_group),
+        "__own": F.sum(weight(F.col("__all")) / F.col("__n")).over(of_row),
+        "__less": F.sum(weight(F.col("__rest")) / F.col("__n")).over(of_row),
+    })
+    against = F.greatest(F.lit(0.0), F.col("__full") - F.col("__own")) + F.greatest(F.lit(0.0), F.col("__less") - weight(F.col("__rest"))) + weight(F.lit(0.0))
+    message = F.col("__rest") - F.col("__top") - F.log(F.greatest(F.lit(1e-300), against))
+    message = F.when(F.col("__alone"), 0.0).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), message)))
+    return v.withColumn("g", message).drop("__v", "__n", "__all", "__m", "__alone", "__top", "__rest", "__full", "__own", "__less")
 
 
 def contested_groups(p: DataFrame) -> DataFrame:
