@@ -1,7 +1,7 @@
 """Censored regression kernels in numpy, run as one task for each topic, fold and parameter.
 
-Training data of one fit is small (thousands of records, hundreds of features) whatever the size of the tables it is drawn from;
-its bound is checked. The boosted model is a second-order gradient booster on 0/1 features with the same loss and defaults as usual boosting
+Records with equal features and interval are one row with a weight, and 0/1 features are kept as places, so a fit grows with the
+distinct rows. The boosted model is a second-order gradient booster on 0/1 features with the same loss and defaults as usual boosting
 libraries, not a re-implementation of one.
 """
 
@@ -19,7 +19,7 @@ from assayflow.functions.normal import FLOOR, interval_probability
 
 SIGMA = (0.05, 64.0)
 PENALTIES = (1000.0, 100.0, 10.0, 1.0, 0.1, 0.01, 0.001)
-MOST_ROWS = 200_000  # of one fit
+FITS = 128  # tasks that fits are spread over; their tables are small, and would be coalesced into few
 
 
 def density(x: np.ndarray) -> np.ndarray:
@@ -27,7 +27,42 @@ def density(x: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(x), np.exp(-0.5 * np.minimum(x * x, 1400)) / math.sqrt(2 * math.pi), 0.0)
 
 
-def objective(theta: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+class Indicators:
+    """A 0/1 matrix as the places of its ones, with the products that a linear fit needs."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int]) -> None:
+        self.row, self.column, self.shape = row, column, shape
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.column], self.shape[0])
+
+    def __getitem__(self, rows: np.ndarray) -> Indicators:
+        """The rows of a mask."""
+        keep = rows[self.row]
+        return Indicators((np.cumsum(rows) - 1)[self.row[keep]], self.column[keep], (int(rows.sum()), self.shape[1]))
+
+    @property
+    def T(self) -> Indicators:  # noqa: N802
+        return Indicators(self.column, self.row, self.shape[::-1])
+
+
+def middle(values: np.ndarray, weight: np.ndarray) -> float:
+    """The median of values that count by whole weights; 0 of none."""
+    if not len(values):
+        return 0.0
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weight[order])
+    n = upto[-1]
+    at = np.searchsorted(upto, [(n - 1) // 2, n // 2], side="right")
+    return float(values[order][at].mean())
+
+
+def ends_of(lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.isfinite(lo), np.isfinite(hi)
+    return np.concatenate([lo[a], hi[b]]), np.concatenate([weight[a], weight[b]])
+
+
+def objective(theta: np.ndarray, x: np.ndarray | Indicators, lo: np.ndarray, hi: np.ndarray, penalty: float, weight: np.ndarray | float = 1.0) -> tuple[float, np.ndarray]:
     """Penalised negative log likelihood of intervals (lo - 1, hi] and its gradient; theta is intercept, log sigma, slopes."""
     sigma = math.exp(theta[1])
     mu = theta[0] + x @ theta[2:]
@@ -39,18 +74,19 @@ def objective(theta: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     dmu = np.where(live, (fb - fa) / (p * sigma), np.clip(mu - inside, -1, 1) / sigma)
     fin = lambda z, f: np.where(np.isfinite(z), z, 0.0) * f
     dsig = np.where(live, (fin(b, fb) - fin(a, fa)) / p, -1.0)
+    dmu, dsig = dmu * weight, dsig * weight
     beta = theta[2:]
     grad = np.concatenate([[dmu.sum()], [dsig.sum()], x.T @ dmu + 2 * penalty * beta])
-    return float(-np.log(p).sum() + penalty * beta @ beta), grad
+    return float(-(np.log(p) * weight).sum() + penalty * beta @ beta), grad
 
 
-def fit_ridge(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, penalty: float, rounds: int = 200) -> np.ndarray:
+def fit_ridge(x: np.ndarray | Indicators, lo: np.ndarray, hi: np.ndarray, penalty: float, rounds: int = 200, weight: np.ndarray | None = None) -> np.ndarray:
     """Minimum by limited-memory quasi-Newton steps with backtracking; log sigma stays within its bounds."""
-    ends = np.concatenate([lo[np.isfinite(lo)], hi[np.isfinite(hi)]])
+    w = np.ones(len(lo)) if weight is None else weight
     theta = np.zeros(x.shape[1] + 2)
-    theta[0], theta[1] = (np.median(ends) if len(ends) else 0.0), math.log(2)
+    theta[0], theta[1] = middle(*ends_of(lo, hi, w)), math.log(2)
     bound = lambda t: np.concatenate([t[:1], [min(max(t[1], math.log(SIGMA[0])), math.log(SIGMA[1]))], t[2:]])
-    value, grad = objective(theta, x, lo, hi, penalty)
+    value, grad = objective(theta, x, lo, hi, penalty, w)
     memory: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
         q, parts = grad.copy(), []
@@ -66,7 +102,7 @@ def fit_ridge(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, penalty: float, rou
         step, found = 1.0 if memory else 1.0 / max(1.0, np.abs(grad).sum()), False
         for _ in range(30):
             new = bound(theta - step * q)
-            v, g = objective(new, x, lo, hi, penalty)
+            v, g = objective(new, x, lo, hi, penalty, w)
             if v <= value - 1e-4 * (grad @ (theta - new)):
                 found = True
                 break
@@ -83,10 +119,10 @@ def fit_ridge(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, penalty: float, rou
     return theta
 
 
-def fit_boosted(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, trees: int = 100, depth: int = 3, rate: float = 0.05, least_weight: float = 5.0, sigma: float = 1.0) -> tuple[float, list]:
+def fit_boosted(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, trees: int = 100, depth: int = 3, rate: float = 0.05, least_weight: float = 5.0, sigma: float = 1.0, weight: np.ndarray | None = None) -> tuple[float, list]:
     """(start, trees) of an accelerated-failure-time booster on 0/1 features: normal errors of scale sigma, leaf penalty 1."""
-    ends = np.concatenate([lo[np.isfinite(lo)], hi[np.isfinite(hi)]])
-    start = float(np.median(ends)) if len(ends) else 0.0
+    w = np.ones(len(lo)) if weight is None else weight
+    start = middle(*ends_of(lo, hi, w))
     score = np.full(len(lo), start)
     x = x > 0.5
     forest = []
@@ -109,7 +145,7 @@ def fit_boosted(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, trees: int = 100,
         g = -(fa - fb) / (p * sigma)
         fin = lambda z, f: np.where(np.isfinite(z), z, 0.0) * f
         h = np.clip(g * g - (fin(a, fa) - fin(b, fb)) / (p * sigma * sigma), 1e-6, None)
-        tree = grow(np.arange(len(score)), g, h, depth)
+        tree = grow(np.arange(len(score)), g * w, h * w, depth)
         forest.append(tree)
         score = score + apply_tree(tree, x)
     return start, forest
@@ -150,11 +186,19 @@ def matrix(features: Sequence, vocabulary: list[str]) -> np.ndarray:
     return x
 
 
-def vocabulary_of(features: Sequence, least: int) -> list[str]:
+def indicators(features: Sequence, vocabulary: list[str]) -> Indicators:
+    """matrix() by the places of its ones."""
+    place = {f: i for i, f in enumerate(vocabulary)}
+    ones = [(i, place[f]) for i, fs in enumerate(features) for f in (set(fs) if fs is not None else ()) if f in place]
+    row, column = np.array(ones, dtype=np.int64).reshape(-1, 2).T
+    return Indicators(row, column, (len(features), len(vocabulary)))
+
+
+def vocabulary_of(features: Sequence, least: int, weight: Sequence | None = None) -> list[str]:
     n: dict[str, int] = {}
-    for fs in features:
+    for fs, w in zip(features, [1] * len(features) if weight is None else weight, strict=True):
         for f in set(fs) if fs is not None else ():
-            n[f] = n.get(f, 0) + 1
+            n[f] = n.get(f, 0) + w
     return sorted(f for f, k in n.items() if k >= least)
 
 
@@ -162,36 +206,39 @@ def nested_predictions(df: DataFrame, topic: str, record: str, group: str, fold:
     """(topic, record, fold, predicted, choice): each outer fold is predicted by a model whose parameter was chosen on inner folds of the others.
 
     Features of the training folds with enough records make the vocabulary; groups never cross inner folds. The choice has the best share of
-    predictions within one dilution, the stronger penalty (or smaller model) of equals. One task for each topic and fold; a fit of more than MOST_ROWS
-    rows is refused.
+    predictions within one dilution, the stronger penalty (or smaller model) of equals. One task for each topic and fold, over the distinct
+    rows of (group, fold, lo, hi, features) with their numbers of records; only ridge keeps its features as places.
     """
     from assayflow.operators.folds import tie_order
 
-    cols = [topic, record, group, fold, lo, hi, features]
-    rows = df.select(*cols).where(F.col(fold).isNotNull())
-    tasks = rows.select(F.col(topic).alias("__t"), F.col(fold).alias("__f")).distinct()
-    jobs = tasks.join(rows, F.col("__t") == F.col(topic)).select("__t", "__f", *cols)
+    rows = df.select(topic, record, group, fold, lo, hi, F.array_sort(F.array_distinct(features)).alias(features)).where(F.col(fold).isNotNull())
+    cols = [topic, group, fold, lo, hi, features]
+    weighted = rows.where(F.col(topic).isNotNull()).groupBy(*cols).agg(F.count("*").alias("__w"))
+    tasks = weighted.select(F.col(topic).alias("__t"), F.col(fold).alias("__f")).distinct()
+    jobs = tasks.join(weighted, F.col("__t") == F.col(topic)).select("__t", "__f", *cols, "__w")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    places = indicators if learner == "ridge" else matrix
 
-    def fit(x: np.ndarray, a: np.ndarray, b: np.ndarray, p: float) -> object:
-        return fit_ridge(x, a, b, p) if learner == "ridge" else fit_boosted(x, a, b, trees=100, depth=int(p))
+    def fit(x: np.ndarray | Indicators, a: np.ndarray, b: np.ndarray, w: np.ndarray, p: float) -> object:
+        return fit_ridge(x, a, b, p, weight=w) if learner == "ridge" else fit_boosted(x, a, b, trees=100, depth=int(p), weight=w)
 
-    def agreement(model: object, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    def agreement(model: object, x: np.ndarray | Indicators, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
         p = np.floor(predict(model, x) + 0.5)
-        return float((np.maximum(np.maximum(p - b, a - p), 0) <= 1).sum())
+        return float(w[np.maximum(np.maximum(p - b, a - p), 0) <= 1].sum())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_ROWS:
-            raise ValueError(f"{len(pdf)} rows are too many for one fit")
-        pdf = pdf.sort_values(record, kind="stable")
+        # one order whatever the partitions, so that sums come out alike
+        order = sorted(range(len(pdf)), key=lambda i: (str(pdf[group].iat[i]), str(pdf[fold].iat[i]), pdf[lo].iat[i], pdf[hi].iat[i], [str(f) for f in pdf[features].iat[i]] if pdf[features].iat[i] is not None else []))
+        pdf = pdf.iloc[order]
         out = pdf[pdf[fold] == pdf["__f"]]
         train = pdf[pdf[fold] != pdf["__f"]]
-        empty = pd.DataFrame({topic: [], record: [], fold: [], "predicted": [], "choice": []})
         if out.empty or train.empty:
-            return empty.astype({"predicted": float, "choice": float})
-        words = vocabulary_of(list(train[features]), least)
-        x, a, b = matrix(list(train[features]), words), train[lo].to_numpy(float), train[hi].to_numpy(float)
-        sizes = train[group].value_counts().to_dict()
+            return pd.DataFrame({topic: [], fold: [], features: [], "predicted": [], "choice": []}).astype({"predicted": float, "choice": float})
+        out = out.loc[~out[features].map(lambda fs: None if fs is None else tuple(fs)).duplicated()]
+        w = train["__w"].to_numpy(float)
+        words = vocabulary_of(list(train[features]), least, list(train["__w"]))
+        x, a, b = places(list(train[features]), words), train[lo].to_numpy(float), train[hi].to_numpy(float)
+        sizes = train.groupby(group)["__w"].sum().to_dict()
         load, place = [0] * inner, {}
         for g in sorted(sizes, key=lambda g: (-sizes[g], tie_order(20260815, str(g)))):
             f = load.index(min(load))
@@ -200,13 +247,16 @@ def nested_predictions(df: DataFrame, topic: str, record: str, group: str, fold:
         at = train[group].map(place).to_numpy()
         best, choice = -1.0, grid[0]
         for p in grid if len(set(at)) > 1 else ():
-            hits = sum(agreement(fit(x[at != f], a[at != f], b[at != f], p), x[at == f], a[at == f], b[at == f]) for f in sorted(set(at)))
+            hits = sum(agreement(fit(x[at != f], a[at != f], b[at != f], w[at != f], p), x[at == f], a[at == f], b[at == f], w[at == f]) for f in sorted(set(at)))
             if hits > best:
                 best, choice = hits, p
-        model = fit(x, a, b, choice)
-        return pd.DataFrame({topic: out[topic], record: out[record], fold: out[fold], "predicted": predict(model, matrix(list(out[features]), words)), "choice": float(choice)})
+        model = fit(x, a, b, w, choice)
+        return pd.DataFrame({topic: out[topic], fold: out[fold], features: out[features], "predicted": predict(model, places(list(out[features]), words)), "choice": float(choice)})
 
-    return jobs.groupBy("__t", "__f").applyInPandas(run, f"{topic} {kinds[topic]}, {record} {kinds[record]}, {fold} {kinds[fold]}, predicted double, choice double")
+    feature_kind = rows.schema[features].dataType.simpleString()
+    said = jobs.repartition(FITS, "__t", "__f").groupBy("__t", "__f").applyInPandas(run, f"{topic} {kinds[topic]}, {fold} {kinds[fold]}, {features} {feature_kind}, predicted double, choice double")
+    said = said.withColumnsRenamed({topic: "__t", fold: "__f", features: "__x"})
+    return rows.join(said, (F.col(topic) == F.col("__t")) & (F.col(fold) == F.col("__f")) & F.col(features).eqNullSafe(F.col("__x"))).select(topic, record, fold, "predicted", "choice")
 
 
 def predict_batches(model: object, words: list[str]):  # noqa: ANN201

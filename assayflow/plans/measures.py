@@ -217,9 +217,9 @@ def nearest_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("nested_ridge")
 def nested_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions of three drugs from features of the test, penalty chosen on inner folds, and their agreement."""
-    r = references(spark, sf_dir).where("drug in ('ciprofloxacin', 'gentamicin', 'ceftriaxone')")
+    """Out-of-fold predictions of every drug from features of the test, penalty chosen on inner folds, and their agreement."""
+    r = references(spark, sf_dir)
     feats = F.array(F.concat(F.lit("source:"), F.coalesce("source", F.lit("none"))), F.concat(F.lit("network:"), F.col("network")), F.concat(F.lit("lineage:"), "lineage"))
-    p = nested_predictions(r.withColumn("features", feats), "drug", "id", "lineage", "fold", "lo", "hi", "features", "ridge", (100.0, 10.0, 1.0))
+    p = nested_predictions(r.withColumn("features", feats), "drug", "id", "lineage", "fold", "lo", "hi", "features", "ridge")
     s = score(p.join(r.select("id", "lo", "hi"), "id"), "predicted", "lo", "hi")
     return s.groupBy("drug", "fold").agg(F.count("*").alias("n"), F.round(F.avg(F.col("agrees").cast("double")), 6).alias("agreement"), F.max("choice").alias("choice"))

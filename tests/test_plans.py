@@ -1,6 +1,10 @@
 from itertools import combinations
 
-from assayflow.plans import tables
+import numpy as np
+import pytest
+
+from assayflow.operators import models
+from assayflow.plans import measures, tables
 
 
 def test_profiles_of_all_parts(spark, tmp_path):
@@ -14,3 +18,30 @@ def test_profiles_of_all_parts(spark, tmp_path):
     assert any(b > 600 for _, b in want)
     name = {x.k: x.group_name for x in tables.groups_of_profiles(spark, str(tmp_path)).collect()}
     assert set(name) == set(ps) and all(name[a] == name[b] for a, b in want)
+
+
+def test_ridge_of_every_drug_and_penalty(spark, monkeypatch):
+    """Drugs of any name get results, and a penalty of the grid's ends is chosen where it is best."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for drug in ("colistin", "ciprofloxacin"):
+        for i in range(240):
+            y = float(rng.integers(-6, 7)) if drug == "colistin" else 10.0 * (i % 3)
+            rows.append((f"{drug}{i}", drug, i % 4, f"l{i % 24}", f"s{i % 3}", "n", y, y))
+    df = spark.createDataFrame(rows, "id string, drug string, fold int, lineage string, source string, network string, lo double, hi double")
+    monkeypatch.setattr(measures, "references", lambda spark, sf_dir: df)
+    got = measures.nested_ridge(spark, "").collect()
+    assert {(x.drug, x.fold, x.n) for x in got} == {(d, f, 60) for d in ("colistin", "ciprofloxacin") for f in range(4)}
+    assert any(x.choice not in (100.0, 10.0, 1.0) for x in got)
+
+
+def test_weights_are_repeated_rows():
+    rng = np.random.default_rng(5)
+    x, lo, w = (rng.random((30, 4)) < 0.5).astype(float), rng.integers(-3, 4, 30).astype(float), rng.integers(1, 6, 30)
+    hi = np.where(rng.random(30) < 0.2, np.inf, lo)
+    many = [np.repeat(v, w, axis=0) for v in (x, lo, hi)]
+    places = models.Indicators(*np.nonzero(x), x.shape)
+    assert models.fit_ridge(places, lo, hi, 1.0, weight=w.astype(float)) == pytest.approx(models.fit_ridge(*many, 1.0), abs=1e-3)
+    assert models.predict(models.fit_boosted(x, lo, hi, 20, weight=w.astype(float)), x) == pytest.approx(models.predict(models.fit_boosted(*many, 20), x), abs=1e-6)
+    keep = lo > 0
+    assert np.allclose(places[keep] @ np.arange(4.0), x[keep] @ np.arange(4.0)) and np.allclose(places[keep].T @ lo[keep], x[keep].T @ lo[keep])
