@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+SPREAD = 128  # tasks over which draws are dealt: few rows before their groups are drawn, so the planner would take one
+
 
 def hash_number(*parts: Column, modulo: Column | int | None = None) -> Column:
     """The first 32 bits of SHA-256 of the parts, joined by colons, as a whole number."""
@@ -31,10 +33,11 @@ def group_bootstrap(df: DataFrame, keys: Sequence[str], group: str, numerators:
     sums = sums.withColumns({"j": F.row_number().over(w.orderBy(group)) - 1, "G": F.count("*").over(w)})
     cols = [f"{p}{i}" for i in range(len(names)) for p in ("x", "d")]
     sizes = sums.groupBy(*keys).agg(F.max("G").alias("G"), *[F.sum(c).alias(f"t_{c}") for c in cols])
-    slots = sizes.select(*keys, "G", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(*keys, "G", "draw", F.explode(F.sequence(F.lit(0), (F.col("G") - 1).cast("int"))).alias("slot"))
+    slots = sizes.select(*keys, "G", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartition(SPREAD, *keys, "draw").select(*keys, "G", "draw", F.explode(F.sequence(F.lit(0), (F.col("G") - 1).cast("int"))).alias("slot"))
     picks = slots.withColumn("j", hash_number(F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"), modulo=F.col("G")).cast("int"))
     picks = picks.groupBy(*keys, "draw", "j").agg(F.count("*").alias("m"))
-    drawn = picks.join(sums, [*keys, "j"]).groupBy(*keys, "draw").agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in cols])
+    # the number of picks is unknown to the planner, which would broadcast them
+    drawn = picks.join(sums.hint("merge"), [*keys, "j"]).groupBy(*keys, "draw").agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in cols])
     stats = drawn.select(*keys, F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.try_divide(f"x{i}", f"d{i}").alias("v")) for i, s in enumerate(names)])))
     ends = stats.groupBy(*keys, "statistic").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"), F.count("v").alias("n"))
     whole = sizes.select(*keys, "G", F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.try_divide(f"t_x{i}", f"t_d{i}").alias("estimate")) for i, s in enumerate(names)])))

@@ -15,7 +15,7 @@ from assayflow.plans.views import MEAS_SQL, MEASURES_SQL, PRED_SQL, measurements
 
 registry = Registry()
 finite = lambda c: F.when(F.abs(F.col(c)) != INF, F.col(c)).alias(c)
-DRAWS = 200
+DRAWS = 200  # of the SQL; the queries take the operators' 2,000
 
 
 @registry.query("interval_bounds", f"with {MEAS_SQL} select id, sign, val, d::int d, case when lo > '-infinity'::double then lo end lo, case when hi < 'infinity'::double then hi end hi, case when lo = '-infinity'::double then 'left_censored' when hi = 'infinity'::double then 'right_censored' else 'exact' end class from ref")
@@ -154,7 +154,7 @@ picks as (select {k}, draw, ('0x' || substr(sha256('20260815:' || draw || ':' ||
 def bootstrap_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score(predictions(spark, sf_dir).where("model = 1"), "predicted", "lo", "hi")
     agrees, exact = F.col("agrees").cast("int"), F.col("is_exact")
-    return group_bootstrap(s, ["drug"], "lineage", {"agreement": agrees, "agreement_exact": F.when(exact, agrees)}, {"agreement": F.lit(1), "agreement_exact": F.when(exact, 1)}, DRAWS)
+    return group_bootstrap(s, ["drug"], "lineage", {"agreement": agrees, "agreement_exact": F.when(exact, agrees)}, {"agreement": F.lit(1), "agreement_exact": F.when(exact, 1)})
 
 
 PAIR_SQL = f"{PRED_SQL}, both_ as (select a.id, a.drug, a.lineage, a.source, (a.error <= 1)::int - (b.error <= 1)::int d from scored a join scored b using (id) where a.model = 1 and b.model = 2)"
@@ -163,7 +163,7 @@ PAIR_SQL = f"{PRED_SQL}, both_ as (select a.id, a.drug, a.lineage, a.source, (a.
 @registry.query("paired_difference", f"with {PAIR_SQL}, {BOOT_SQL.format(k='drug', src='both_', draws=DRAWS, sums='sum(d)::double x0, count(d)::double d0')}, drawn as (select drug, draw, sum(x0) / nullif(sum(d0), 0) v from picks join sums using (drug, j) group by 1, 2), whole as (select drug, max(g) n_groups, sum(x0) / sum(d0) e from sums group by drug) select drug, 'difference' statistic, round(max(e), 6) estimate, round(quantile_cont(v, 0.025), 6) lo, round(quantile_cont(v, 0.975), 6) hi, max(n_groups) n_groups from drawn join whole using (drug) group by drug")
 def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score(predictions(spark, sf_dir), "predicted", "lo", "hi").withColumn("hit", F.col("agrees").cast("int")).select("id", "drug", "lineage", "source", "model", "hit")
-    return paired_differences(s.where("model = 1"), s.where("model = 2"), ["id"], ["drug"], "lineage", "hit", DRAWS)
+    return paired_differences(s.where("model = 1"), s.where("model = 2"), ["id"], ["drug"], "lineage", "hit")
 
 
 @registry.query("leave_source_out", f"with {PAIR_SQL}, g as (select drug, source, sum(d) s, count(*) n from both_ group by 1, 2), t as (select drug, sum(s) ts, sum(n) tn from g group by 1) select drug, source, round(n / tn, 6) share, round((ts - s) / (tn - n), 6) difference from g join t using (drug) where source is not null and n / tn >= 0.05")

@@ -1,3 +1,4 @@
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -45,3 +46,19 @@ def test_weights_are_repeated_rows():
     assert models.predict(models.fit_boosted(x, lo, hi, 20, weight=w.astype(float)), x) == pytest.approx(models.predict(models.fit_boosted(*many, 20), x), abs=1e-6)
     keep = lo > 0
     assert np.allclose(places[keep] @ np.arange(4.0), x[keep] @ np.arange(4.0)) and np.allclose(places[keep].T @ lo[keep], x[keep].T @ lo[keep])
+
+
+def test_bootstrap_queries_take_2000_draws(spark, monkeypatch):
+    """Both queries against the draws made here, one by one."""
+    rng = np.random.default_rng(7)
+    rows = [(m, f"t{i}", "d", f"l{i % 9}", "s", float(p), 0.0, 0.0) for i in range(60) for m, p in ((1, rng.integers(0, 4)), (2, rng.integers(0, 4)))]
+    df = spark.createDataFrame(rows, "model int, id string, drug string, lineage string, source string, predicted double, lo double, hi double")
+    monkeypatch.setattr(measures, "predictions", lambda spark, sf_dir: df)
+    hit = {(m, i): int(p <= 1) for m, i, _, _, _, p, _, _ in rows}
+    of = [[f"t{i}" for i in range(60) if i % 9 == g] for g in range(9)]
+    picks = [[int(hashlib.sha256(f"20260815:{d}:{k}".encode()).hexdigest()[:8], 16) % 9 for k in range(9)] for d in range(2000)]
+    for got, value in ((measures.bootstrap_agreement(spark, ""), lambda t: hit[1, t]), (measures.paired_difference(spark, ""), lambda t: hit[1, t] - hit[2, t])):
+        means = [np.mean([value(t) for g in pick for t in of[g]]) for pick in picks]
+        row = got.where("statistic in ('agreement', 'difference')").first()
+        assert [row.lo, row.hi] == pytest.approx(list(np.quantile(means, [0.025, 0.975])), abs=2e-6)
+        assert [row.lo, row.hi] != pytest.approx(list(np.quantile(means[:200], [0.025, 0.975])), abs=2e-6)
