@@ -149,3 +149,40 @@ def test_labels(spark):
     want = {"en_US": "en", "English": "en", "DE": "de", "es-419": "es", "fre": "fr", "und": None, "xx": None, "": None, None: None, "ja-JP": "ja", "português": "pt"}
     rows = spark.createDataFrame([(k,) for k in want], "l string").select("l", lang.label_code(F.col("l")).alias("c")).collect()
     assert {x.l: x.c for x in rows} == want
+
+
+def test_wrong_labels_do_not_teach():
+    """15 % of the documents have another language's label, with a stock sentence that many documents hold, once in capitals."""
+    stock = {"en": "Values outside the tested range are shown with a sign.", "de": "Werte außerhalb des Bereichs tragen ein Vorzeichen.", "fr": "Les valeurs hors de la gamme portent un signe."}
+    r = random.Random(3)
+    docs, names = [], list(SAMPLES)
+    for i in range(240):
+        true = names[i % 3]
+        label = names[(i + 1) % 3] if r.random() < 0.15 else true
+        own = [" ".join(r.choice(SAMPLES[true]).rstrip(".").split()[: r.randrange(4, 12)]) + f" {r.choice(SAMPLES[true])}" for _ in range(4)]
+        text = stock[true].upper() if i % 11 == 0 else stock[true]
+        docs.append((label, [*own, text] if i % 3 != 1 or i % 2 else own))
+    kept = lang.agreeing(docs)
+    m = lang.fit(kept)
+    for true, text in stock.items():
+        assert text.lower() in kept[true] and all(text.lower() not in ps for other, ps in kept.items() if other != true)
+        for t in (text, text.upper()):
+            s, _ = lang.score(m, [t])
+            assert m.languages[int(s.argmax())] == true and s.max() >= m.reject
+    for true, texts in SAMPLES.items():
+        assert {m.languages[i] for i in lang.score(m, texts)[0].argmax(axis=1)} == {true}
+
+
+def test_agreeing_edges():
+    assert lang.agreeing([]) == {} and lang.agreeing([("en", []), ("de", [" "])]) == {}
+    assert lang.agreeing([("en", ["One sentence alone."])]) == {"en": ["one sentence alone."]}
+
+
+def test_rejection_of_an_unknown_language():
+    """Sentences of a language that no model was fitted on score below the rejection, those of the models' own languages above."""
+    r = random.Random(8)
+    shuffled = {k: [" ".join(r.sample(x := s.rstrip(".").split(), len(x))) + "." for s in v for _ in range(12)] for k, v in SAMPLES.items()}
+    m = lang.fit(shuffled)
+    foreign = ["Żaden z pracowników nie zauważył ostrzeżenia wydrukowanego na formularzu.", "Gyűjtőedényből származó izolátumok újraszekvenálása megtörtént."]
+    assert (lang.score(m, foreign)[0].max(axis=1) < m.reject).all()
+    assert (lang.score(m, [s for v in SAMPLES.values() for s in v])[0].max(axis=1) >= m.reject).all()
