@@ -8,6 +8,7 @@ none that a change of clocks skipped it, one gives the offset.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import zoneinfo
 from functools import reduce
 
@@ -42,33 +43,39 @@ EXCEL_EPOCH = -25569  # 1899-12-30 in days since 1970
 SERIAL_DAYS = (10000, 80000)
 
 
-def zone_intervals(zones: list[str], first: int = 1900, last: int = 2099) -> list[tuple[str, int, int, int]]:
+FIRST, LAST = 1800, 2128  # years that are exploded: no zone of the tz database changes before, and 2101 to 2128 hold every kind of year
+FOREVER = 1 << 60
+
+
+@functools.cache
+def _intervals(zone: str, first: int, last: int) -> tuple[tuple[int, int, int], ...]:
+    """(local start, local end, offset), seconds: the zone's intervals of constant offset; the first has no start."""
+    tz = zoneinfo.ZoneInfo(zone)
+    off = lambda s: int(dt.datetime.fromtimestamp(s, tz).utcoffset().total_seconds())
+    begin, end, step = int(dt.datetime(first, 1, 1, tzinfo=dt.UTC).timestamp()), int(dt.datetime(last, 12, 31, tzinfo=dt.UTC).timestamp()), 7 * 86400
+    rows, start, now = [], -FOREVER, off(begin)
+    for t in range(begin, end, step):
+        if off(t + step) != now:
+            lo, hi = t, t + step
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if off(mid) == now else (lo, mid)
+            rows.append((start + now, hi + now, now))
+            start, now = hi, off(hi)
+    rows.append((start + now, end + step + now, now))
+    return tuple(rows)
+
+
+def zone_intervals(zones: list[str], first: int = FIRST, last: int = LAST) -> list[tuple[str, int, int, int]]:
     """(zone, local start, local end, offset), seconds: the intervals of constant offset. Unknown zones give none."""
-    rows = []
-    for zone in zones:
-        try:
-            tz = zoneinfo.ZoneInfo(zone)
-        except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
-            continue
-        off = lambda s: int(dt.datetime.fromtimestamp(s, tz).utcoffset().total_seconds())  # noqa: B023, E731
-        begin, end, step = int(dt.datetime(first, 1, 1, tzinfo=dt.UTC).timestamp()), int(dt.datetime(last, 12, 31, tzinfo=dt.UTC).timestamp()), 7 * 86400
-        start, now = begin, off(begin)
-        for t in range(begin, end, step):
-            if off(t + step) != now:
-                lo, hi = t, t + step
-                while hi - lo > 1:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid, hi) if off(mid) == now else (lo, mid)
-                rows.append((zone, start + now, hi + now, now))
-                start, now = hi, off(hi)
-        rows.append((zone, start + now, end + step + now, now))
-    return rows
-
-
-def interval_table(spark: SparkSession, zones: list[str], first: int = 1900, last: int = 2099) -> DataFrame:
+    known = zoneinfo.available_timezones()
+    return [(z, *row) for z in zones if z in known for row in _intervals(z, first, last)]
+
+
+def interval_table(spark: SparkSession, zones: list[str], first: int = FIRST, last: int = LAST) -> DataFrame:
     """zone, local year and the intervals that reach into that year or end in the one before, ordered."""
     exploded: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
-    year = lambda s: (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)).year
+    year = lambda s: (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)).year if s > -FOREVER / 2 else first
     for zone, a, b, o in zone_intervals(zones, first, last):
         for y in range(max(first, year(a)), min(last, year(b)) + 1):
             exploded.setdefault((zone, y), []).append((a, b, o))
@@ -76,6 +83,29 @@ def interval_table(spark: SparkSession, zones: list[str], first: int = 1900, las
     return spark.createDataFrame(rows, "__zone string, __year int, __spans array<struct<a:long,b:long,o:int>>")
 
 
+def known_zones(df: DataFrame, zone: str) -> list[str]:
+    """The zones of a column that the tz database knows; no more than it holds, whatever else the column holds."""
+    known = sorted(zoneinfo.available_timezones())
+    return sorted(r[0] for r in df.select(F.col(f"`{zone}`").alias("z")).where(F.col("z").isin(known)).distinct().collect())
+
+
+def new_year(y: Column) -> Column:
+    """Days from 1970 to 1 January of a year."""
+    return F.unix_date(F.make_date(y, F.lit(1), F.lit(1)))
+
+
+def like_year(y: Column) -> Column:
+    """The year of the table whose clocks change on the same days: before the first, none do; after the last, the zone's rule for good
+    depends on the weekday of 1 January and on the leap day only."""
+    kinds = {}
+    for k in range(LAST - 27, LAST + 1):
+        kinds[(dt.date(k, 1, 1) - dt.date(1970, 1, 1)).days % 7 * 2 + (k % 4 == 0)] = k
+    leap = F.dayofyear(F.make_date(y, F.lit(12), F.lit(31))) - 365
+    kind = F.pmod(new_year(y), F.lit(7)) * 2 + leap
+    later = F.try_element_at(F.create_map(*[F.lit(v) for kv in sorted(kinds.items()) for v in kv]), kind.cast("int"))
+    return F.when(y > LAST, later).otherwise(F.greatest(y, F.lit(FIRST)))
+
+
 def _plain(text: Column) -> Column:
     """Lower case, single blanks, no accents."""
     return F.lower(F.translate(spaced(text), "ÀÁÂÃÄàáâãäÉÈÊëéèêÛÜÙûüùÔÖÓôöóÇç", "AAAAAaaaaaEEEeeeeUUUuuuOOOoooCc"))
@@ -163,17 +193,16 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
     YYYY, YYYY-MM or YYYY-MM-DD come out as written; a time comes out as YYYY-MM-DDTHH:MM:SSZ in UTC, fractions dropped.
     A wall time that occurs twice is the earlier instant; a skipped one takes the offset in force before the change.
     Null: null, blank, placeholder and unreadable texts, impossible dates, spans, and texts that need a zone or an order
-    where it is null or unknown. Rows, their other columns and repeats stay; a column named as the result is replaced. zones: the zones that may occur; by default
-    they are read from the zone column (their number is bounded by the tz database).
+    where it is null or unknown. Years are 0001 to 9999. Rows, their other columns and repeats stay; a column named as the result is replaced.
+    zones: the zones that may occur; by default the known ones of the zone column (the tz database bounds their number).
     """
     spark = df.sparkSession
     own = "__ts"
     while any(c.lower().startswith(own) for c in df.columns):
         own = "_" + own
-    plain, ts, zone_, year, spans_, secs_ = (f"{own}_{k}" for k in ("plain", "parts", "zone", "year", "spans", "secs"))
+    plain, ts, zone_, year, like, spans_, secs_ = (f"{own}_{k}" for k in ("plain", "parts", "zone", "year", "like", "spans", "secs"))
     if zones is None:
-        known = zoneinfo.available_timezones()
-        zones = [] if zone is None else [r[0] for r in df.select(F.col(zone)).distinct().limit(len(known) + 1).collect() if r[0] in known]
+        zones = [] if zone is None else known_zones(df, zone)
     null = F.lit(None).cast("string")
     # the plain text and its parts are columns of their own, so that the plan holds each expression once
     p = df.withColumn(plain, _plain(F.col(f"`{text}`"))).withColumn(ts, _parse(F.col(plain), F.lower(F.trim(F.col(f"`{order}`"))) if order else null))
@@ -189,12 +218,13 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
     local = x("zone").isNull()
     p = p.withColumn(secs_, secs)
     p = p.withColumn(year, F.when(local & F.col(secs_).isNotNull(), F.year(F.date_from_unix_date(idiv(F.col(secs_), 86400).cast("int")))))
-    p = p.withColumn(zone_, F.col(f"`{zone}`") if zone else null)
-    table = interval_table(spark, zones).toDF(zone_, year, spans_)  # at most the tz database: some 600 zones of 200 years
-    p = p.join(F.broadcast(table) if len(zones) <= 100 else table, [zone_, year], "left")
+    p = p.withColumn(zone_, F.col(f"`{zone}`") if zone else null).withColumn(like, like_year(F.col(year)))
+    table = interval_table(spark, zones).toDF(zone_, like, spans_)  # at most the tz database: some 600 zones of 329 years
+    p = p.join(F.broadcast(table) if len(zones) <= 100 else table, [zone_, like], "left")
     L, spans = F.col(secs_), F.col(spans_)
-    holding = F.filter(spans, lambda v: (v.a <= L) & (L < v.b))
-    before = F.filter(spans, lambda v: v.b <= L)
+    at = F.when(F.col(year) > LAST, L + (new_year(F.col(like)) - new_year(F.col(year))).cast("long") * 86400).otherwise(L)  # the same moment of the like year
+    holding = F.filter(spans, lambda v: (v.a <= at) & (at < v.b))
+    before = F.filter(spans, lambda v: v.b <= at)
     offset = F.when(F.size(holding) > 0, F.array_max(F.transform(holding, lambda v: v.o))).otherwise(F.try_element_at(F.transform(before, lambda v: v.o), F.lit(-1)))
     instant = F.when(kind == "instant", x("at")).when(local, L - offset).otherwise(L - minutes * 60)
     y4 = F.lpad(x("y").cast("string"), 4, "0")

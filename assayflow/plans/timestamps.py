@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.operators.timestamps import normalise_timestamps
+from assayflow.operators.timestamps import known_zones, normalise_timestamps
 from assayflow.plans.common import Registry, table
 
 registry = Registry()
@@ -17,8 +17,7 @@ def normalised_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda t, key, text: table(spark, sf_dir, t).select(F.lit(t).alias("source_table"), F.col(key).alias("record_key"), F.col(text).alias("date_text"), "site")
     rows = one("isolates", "target_acc", "collection_date").unionByName(one("ast", "id", "testing_date"))
     zoned = rows.join(sites.select("site", "time_zone", "date_order"), "site", "left")
-    zones = [r[0] for r in sites.select("time_zone").where("time_zone is not null").distinct().limit(1000).collect()]
-    return normalise_timestamps(zoned, "date_text", "time_zone", "date_order", zones=zones)
+    return normalise_timestamps(zoned, "date_text", "time_zone", "date_order", zones=known_zones(sites, "time_zone"))
 
 
 @registry.query("p5_found")

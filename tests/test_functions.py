@@ -87,6 +87,17 @@ def test_wall_times_against_zoneinfo(spark):
     assert normalise_timestamps(df, "t", "z").where("normalised is null or normalised <> want").count() == 0
 
 
+def test_any_year_and_unknown_zones(spark):
+    """Years before and after the exploded ones against the tz database, and more unknown zone names than it has zones."""
+    zones = ["Europe/Berlin", "America/New_York", "Australia/Sydney", "Africa/Casablanca"]
+    walls = [dt.datetime(y, m, 15, 2, 30) for y in (2, 1750, 1799, 1850, 1899, 1950, 2099, 2100, 2128, 2129, 2200, 2304, 2400, 9998) for m in (1, 3, 6, 10)]
+    utc = lambda w, z: w - w.replace(tzinfo=zoneinfo.ZoneInfo(z)).utcoffset()
+    text = lambda w, sep, end: f"{w.year:04d}-{w.month:02d}-{w.day:02d}{sep}{w.hour:02d}:{w.minute:02d}:{w.second:02d}{end}"
+    rows = [(text(w, " ", ""), z, text(utc(w, z), "T", "Z")) for w in walls for z in zones] + [("2020-01-01 10:00", f"Nowhere/{i:05d}", None) for i in range(1500)]
+    got = normalise_timestamps(spark.createDataFrame(rows, "t string, z string, want string"), "t", "z")
+    assert got.where("not (normalised <=> want)").count() == 0
+
+
 def test_text(spark):
     labels = ["ST1", "st 1", "ST-001", "St_01 ", "ST10", "n/a", "", None, "-", "0"]
     assert [r.k for r in spark.createDataFrame([(x,) for x in labels], "x string").select(label_key(F.col("x")).alias("k")).collect()] == ["st1", "st1", "st1", "st1", "st10", None, None, None, None, "0"]
@@ -102,6 +113,7 @@ def test_text(spark):
 
 def test_gene_family(spark):
     want = {"blaCTX-M-15": "blaCTX-M", "blaTEM-1B": "blaTEM", "gyrA_S83L": None, "qnrB4": "qnrB", "aac(3)-IVa": "aac(3)-IV", "sul1": "sul", None: None}
+    want |= {"aac(6')-Ib7": "aac(6')-I", "aac(3)-IId": "aac(3)-II", "ant(2'')-Ia": "ant(2'')-I", "tet(A)": "tet(A)", "armA": "armA", "rmtB1": "rmtB", "blaEC": "blaEC", "blaCTX-M": "blaCTX-M", "dfr-12": "dfr-", "7": "7", "": ""}
     rows = spark.createDataFrame([(k,) for k in want], "s string").select("s", gene_family(F.col("s")).alias("f")).collect()
     assert {r.s: r.f for r in rows} == want
 
