@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from assayflow.functions.interval import INF, interval_error, rounded_half_up
 
+RANGES = 64  # of scores of one key that are cumulated apart
+
 
 def intersect_intervals(df: DataFrame, keys: Sequence[str], sign: str, value: str, unit: str, row: str, record: str | None = None) -> DataFrame:
     """One row for each key: the intersection of its measurements.
@@ -79,11 +81,17 @@ def confusion(df: DataFrame, keys: Sequence[str], truth: str, score_: str, thres
 
 def score_curve(df: DataFrame, keys: Sequence[str], truth: str, score_: str) -> DataFrame:
     """(keys, score, pos, neg, pos_ge, neg_ge, P, N): of each different score the cases at it and from it upwards. One row for each
-    score; rows of one key are ordered in one task, after they are counted."""
-    g = df.groupBy(*keys, F.col(score_).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    w = Window.partitionBy(*keys)
-    down = w.orderBy(F.desc("score"))
-    return g.withColumns({"pos_ge": F.sum("pos").over(down), "neg_ge": F.sum("neg").over(down), "P": F.sum("pos").over(w), "N": F.sum("neg").over(w)})
+    score. Scores are cut into ranges at their percentiles, cumulated within a range, and the sums of the higher ranges are added, so
+    no task orders all scores of a key. Rows with a null score are left out."""
+    g = df.where(F.col(score_).isNotNull()).groupBy(*keys, F.col(score_).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    # ranges by the scores themselves, whose number is bounded by RANGES for each key
+    cuts = g.groupBy(*keys).agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], F.lit(1000)).alias("__cuts"))
+    g = g.join(cuts, list(keys)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col("score")))).drop("__cuts")
+    sums = g.groupBy(*keys, "__range").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    all_, higher = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("__range"))
+    over = sums.select(*keys, "__range", (F.sum("__p").over(higher) - F.col("__p")).alias("__p"), (F.sum("__n").over(higher) - F.col("__n")).alias("__n"), F.sum("__p").over(all_).alias("P"), F.sum("__n").over(all_).alias("N"))
+    down = Window.partitionBy(*keys, "__range").orderBy(F.desc("score"))
+    return g.join(over, [*keys, "__range"]).select(*keys, "score", "pos", "neg", (F.sum("pos").over(down) + F.col("__p")).alias("pos_ge"), (F.sum("neg").over(down) + F.col("__n")).alias("neg_ge"), "P", "N")
 
 
 def ranking_quality(df: DataFrame, keys: Sequence[str], truth: str, score_: str) -> DataFrame:

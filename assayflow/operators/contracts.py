@@ -37,19 +37,25 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def dependency_violations(df: DataFrame, determinant: str, dependent: str) -> DataFrame:
     """(determinant, n_values) where a value of the determinant goes with several of the dependent; nulls of either say nothing.
-    Least and greatest are compared, so no set of values is gathered."""
-    g = df.where(F.col(determinant).isNotNull() & F.col(dependent).isNotNull()).groupBy(determinant)
-    return g.agg(F.min(dependent).alias("lo"), F.max(dependent).alias("hi"), F.approx_count_distinct(dependent).alias("n")).where("lo <> hi").select(determinant, F.greatest(F.lit(2), "n").alias("n_values"))
+    Least and greatest are compared first, so values are counted of the violating keys only."""
+    rows = df.where(F.col(determinant).isNotNull() & F.col(dependent).isNotNull()).select(determinant, dependent)
+    bad = rows.groupBy(determinant).agg(F.min(dependent).alias("__lo"), F.max(dependent).alias("__hi")).where("__lo <> __hi").select(determinant)
+    return rows.join(bad, determinant).groupBy(determinant).agg(F.countDistinct(dependent).alias("n_values"))
+
+
+def crossing(df: DataFrame, key: str, value: str) -> DataFrame:
+    rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    return rows.groupBy(key).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).where("__lo <> __hi").select(key)
 
 
 def crossing_groups(df: DataFrame, group: str, split: str) -> DataFrame:
     """Groups whose rows lie in several splits."""
-    return dependency_violations(df, group, split).select(group)
+    return crossing(df, group, split)
 
 
 def shared_values(df: DataFrame, value: str, split: str) -> DataFrame:
     """Values (sites, projects, networks) that occur in several splits."""
-    return dependency_violations(df, value, split).select(value)
+    return crossing(df, value, split)
 
 
 def validation_report(df: DataFrame, rules: Mapping[str, tuple[str, Column]]) -> DataFrame:

@@ -41,15 +41,21 @@ def linked_groups(pairs: DataFrame, a: str, b: str, members: DataFrame | None =
     return root.join(sizes, "root").select("id", "root", "size")
 
 
+def ranked(df: DataFrame, key: str) -> DataFrame:
+    """(key, rank, of): the different keys of df, null aside, with their place in order from 0 and their number. Keys are ranked within
+    ranges of their own and the ranges' sizes are added, so no task orders all of them."""
+    keys = df.select(F.col(key).alias("r")).where("r is not null").distinct().repartitionByRange("r").withColumn("part", F.spark_partition_id())
+    keys, _ = materialise(keys, "ranges")
+    n = keys.groupBy("part").agg(F.count("*").alias("n"))
+    ranges = Window.orderBy("part")  # one row for each range
+    before = n.select("part", (F.sum("n").over(ranges) - F.col("n")).alias("before"), F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("of"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("r")) - 1 + F.col("before")
+    return keys.join(F.broadcast(before), "part").select(F.col("r").alias(key), rank.alias("rank"), "of")
+
+
 def dense_labels(df: DataFrame, root: str, pattern: str, into: str = "label") -> DataFrame:
-    """df with consecutive labels by the order of its roots. Roots are ranked within ranges of their own and the ranges' sizes are
-    added, so no task orders all of them."""
-    roots = df.select(F.col(root).alias("r")).where("r is not null").distinct().repartitionByRange("r").withColumn("part", F.spark_partition_id())
-    roots, _ = materialise(roots, "ranges")
-    n = roots.groupBy("part").agg(F.count("*").alias("n"))
-    before = n.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row for each range
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("r")) + F.col("before")
-    named = roots.join(F.broadcast(before), "part").select(F.col("r").alias(root), F.format_string(pattern, rank.cast("int")).alias(into))
+    """df with consecutive labels by the order of its roots; null where the root is."""
+    named = ranked(df, root).select(root, F.format_string(pattern, (F.col("rank") + 1).cast("int")).alias(into))
     return df.join(named, root, "left")
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayflow.workspace import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,17 +30,8 @@ class Registry:
         return add
 
 
-def known_to_workers(spark: SparkSession) -> None:
-    """Python workers find the package where the driver does (a cluster without that folder takes it by --py-files)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if root not in paths:
-        env["PYTHONPATH"] = ":".join([*paths, root])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    known_to_workers(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

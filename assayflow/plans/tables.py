@@ -10,7 +10,7 @@ from assayflow.operators.aggregates import field_coverage
 from assayflow.operators.contracts import crossing_groups, dependency_violations, duplicate_keys, shared_values, validation_report
 from assayflow.operators.features import cosine, feature_sets, first_calls, hierarchy, mean_vectors, supported
 from assayflow.operators.folds import assign_folds
-from assayflow.operators.graph import dense_labels, linked_groups, profile_groups, star_links
+from assayflow.operators.graph import dense_labels, leakage_units, linked_groups, profile_groups, ranked, star_links
 from assayflow.operators.joins import identifier_overlap, lookup_join, one_apart, reconcile, top_k
 from assayflow.operators.routing import all_matches, first_match
 from assayflow.operators.sequences import base_counts, content_addressed, reverse_complement, windows
@@ -20,6 +20,7 @@ from assayflow.text import clean, is_placeholder, label_key, normalised
 
 registry = Registry()
 SIGNS = ("=", "<", "<=", ">", ">=")
+BLOCK = 1000  # consecutive requests under one digest
 
 
 def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,9 @@ def enrichment_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "normalized_ast")
-    dup = F.count("*").over(Window.partitionBy("source_ast_record_id")) > 1
+    # the keys of several rows are counted before the wide rows move; rows without a key get keys of their own, which match nothing
+    twice = n.where("source_ast_record_id is not null").groupBy(F.col("source_ast_record_id").alias("key")).agg(F.count("*").alias("times")).where("times > 1").select("key", F.lit(True).alias("dup"))
+    key = F.coalesce("source_ast_record_id", F.concat(F.lit("\0"), F.xxhash64("source_row_number", "isolate_id", "raw_ast_value").cast("string")))
     sign = F.trim("measurement_sign")
     sign = F.when(sign == "==", "=").otherwise(sign)
     number = F.col("raw_ast_value").try_cast("double")
@@ -64,9 +67,9 @@ def structural(spark: SparkSession, sf_dir: str) -> DataFrame:
         "missing_antibiotic": clean(F.col("antibiotic")).isNull(),
         "missing_isolate": clean(F.col("isolate_id")).isNull(),
         "missing_biosample": clean(F.col("biosample_accession")).isNull(),
-        "duplicate_record_id": F.col("dup") & F.col("source_ast_record_id").isNotNull(),
+        "duplicate_record_id": F.coalesce("dup", F.lit(False)),
     }
-    return n.withColumn("dup", dup).withColumn("reason", first_match(reasons))
+    return n.withColumn("key", key).join(twice, "key", "left").withColumn("reason", first_match(reasons))
 
 
 _b = lambda c: f"({c} is null or lower(trim({c})) in ('', 'nan', 'none', 'null', '<na>'))"
@@ -111,12 +114,13 @@ def country_from_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("target_acc", F.when(explicit, F.col("country")).when(F.col("known"), F.col("name")).alias("country"), F.when(explicit, "explicit").when(F.col("known"), "place_prefix").otherwise("absent").alias("country_source"))
 
 
-@registry.query("lookup_with_conflicts", f"with {ISOLATES_SQL} select (iso.target_acc is not null) matched, case when lower(trim(a.host)) <> lower(trim(iso.host)) then 'host' when lower(trim(a.geo_loc_name)) <> lower(trim(iso.geo_loc_name)) then 'geo_loc_name' end conflict, count(*) n_rows from normalized_ast a left join iso on iso.target_acc = a.isolate_id group by 1, 2")
+@registry.query("lookup_with_conflicts", f"with {ISOLATES_SQL}, l as (select isolate_id, biosample_accession biosample, specimen_source source from isolate_metadata union all select isolate_id, biosample_accession, null from sequence_requests) select (iso.target_acc is not null) matched, case when lower(trim(l.biosample)) <> lower(trim(iso.biosample_acc)) then 'biosample' when lower(trim(l.source)) <> lower(trim(iso.isolation_source)) then 'source' end conflict, count(*) n_rows from l left join iso on iso.target_acc = l.isolate_id group by 1, 2")
 def lookup_with_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normalized_ast with its isolates: unmatched rows and values that contradict each other."""
-    i = isolates(spark, sf_dir).select(F.col("target_acc").alias("isolate_id"), "host", "geo_loc_name", "epi_type")
-    j = lookup_join(table(spark, sf_dir, "normalized_ast").select("isolate_id", "host", "geo_loc_name"), i, ["isolate_id"], ["host", "geo_loc_name"], check=False)
-    return j.groupBy("matched", "conflict").agg(F.count("*").alias("n_rows"))
+    """What metadata and sequence requests say of their isolates, against the isolates: unmatched rows and values that contradict each other."""
+    i = isolates(spark, sf_dir).select(F.col("target_acc").alias("isolate_id"), F.col("biosample_acc").alias("biosample"), F.col("isolation_source").alias("source"), "epi_type")
+    says = lambda t, source: table(spark, sf_dir, t).select("isolate_id", F.col("biosample_accession").alias("biosample"), source.alias("source"))
+    rows = says("isolate_metadata", F.col("specimen_source")).unionByName(says("sequence_requests", F.lit(None).cast("string")))
+    return lookup_join(rows, i, ["isolate_id"], ["biosample", "source"]).groupBy("matched", "conflict").agg(F.count("*").alias("n_rows"))
 
 
 _n = lambda c: f"coalesce(lower(regexp_replace(trim({c}), '\\s+', ' ', 'g')), '')"
@@ -136,7 +140,7 @@ def identifiers_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identifier_overlap(table(spark, sf_dir, "isolate_metadata"), "isolate_id", table(spark, sf_dir, "sequence_requests"), "sequence_id", {"biosample": (c("biosample_accession"), c("biosample_accession")), "assembly": (c("assembly_accession"), c("sequence_accession")), "isolate": (c("isolate_id"), c("isolate_id"))})
 
 
-PROFILE_SQL = "prof as (select p_partkey k, [p_size % 3, p_partkey % 4, (p_partkey // 4) % 3, (p_partkey // 12) % 3, (p_partkey // 36) % 3, (p_partkey // 108) % 3, (p_partkey // 324) % 3] p from part where p_partkey <= 600)"
+PROFILE_SQL = "prof as (select p_partkey k, [p_size % 3, p_partkey % 4, (p_partkey // 4) % 3, (p_partkey // 12) % 3, (p_partkey // 36) % 3, (p_partkey // 108) % 3, (p_partkey // 324) % 3] p from part)"
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +149,10 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("k"), F.array(*[x.cast("long") for x in (F.col("p_size") % 3, k % 4, d(4) % 3, d(12) % 3, d(36) % 3, d(108) % 3, d(324) % 3)]).alias("p"))
 
 
-@registry.query("profiles_one_apart", f"with {PROFILE_SQL} select a.k a, b.k b from prof a join prof b on a.k < b.k where (select count(*) from (select unnest(a.p) x, unnest(b.p) y) where x <> y) = 1")
+@registry.query("profiles_one_apart", f"with {PROFILE_SQL} " + 'select a.k a, b.k b from prof a join prof b on a.k < b.k where ' + ' + '.join(f'(a.p[{i}] <> b.p[{i}])::int' for i in range(1, 8)) + ' = 1')
 def profiles_one_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of seven places that differ in one: an equi-join on profiles with a place left out, over all parts. The digits repeat every 972
-    parts, so pairs grow with the square of the parts. The SQL compares all pairs and reads parts up to 600 only."""
+    parts, so pairs grow with the square of the parts; the SQL compares all of them."""
     return one_apart(profiles(spark, sf_dir), "k", "p")
 
 
@@ -160,13 +164,13 @@ def groups_of_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS_SQL = """pr as (select case when lower(trim(development_sequence_id)) not in ('', 'na') then regexp_replace(lower(development_sequence_id), '\\s+', '', 'g') end a, case when lower(trim(external_sequence_id)) not in ('', 'na') then regexp_replace(lower(external_sequence_id), '\\s+', '', 'g') end b, ani_percent ani, least(aligned_fraction_development, aligned_fraction_external) af from collision_pairs),
-near as (select a, b, case when ani >= 99.99 and af >= 0.95 then 'duplicate' else 'near_neighbor' end class from pr where a is not null and b is not null and a <> b and ani >= 99.95 and af >= 0.9)"""
+near as (select a, b, case when ani >= 99.99 and af >= 0.95 then 'duplicate' else 'near_neighbor' end class from pr where a is not null and b is not null and a <> b and ani between 99.9 and 100 and af between 0.9 and 1)"""
 
 
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda c: F.when(~is_placeholder(F.col(c)), F.lower(F.regexp_replace(c, r"\s+", "")))
     p = table(spark, sf_dir, "collision_pairs").select(key("development_sequence_id").alias("a"), key("external_sequence_id").alias("b"), F.col("ani_percent").alias("ani"), F.least("aligned_fraction_development", "aligned_fraction_external").alias("af"))
-    return p.where("a <> b and ani >= 99.95 and af >= 0.9").select("a", "b", F.when((F.col("ani") >= 99.99) & (F.col("af") >= 0.95), "duplicate").otherwise("near_neighbor").alias("class"))
+    return p.where("a <> b and ani between 99.9 and 100 and af between 0.9 and 1").select("a", "b", F.when((F.col("ani") >= 99.99) & (F.col("af") >= 0.95), "duplicate").otherwise("near_neighbor").alias("class"))
 
 
 @registry.query("pair_classes", f"with {PAIRS_SQL} select class, count(*) n_pairs, count(distinct a) n_left from near group by 1")
@@ -199,9 +203,12 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_groups(links, "a", "b", m, "isolate_id").select(F.col("id").alias("isolate_id"), F.col("root").alias("unit"), "size")
 
 
-@registry.query("leakage_units", f"with recursive {UNITS_SQL} select isolate_id, unit, count(*) over (partition by unit) size from unit")
-def leakage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir)
+@registry.query("leakage_units", f"with recursive {UNITS_SQL}, sized as (select isolate_id, unit, count(*) over (partition by unit) size, dense_rank() over (order by unit) k from unit) select isolate_id, unit, 'cv-group-' || lpad(k::varchar, 6, '0') as label, size from sized")
+def units_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units over lineages and, guarded against chaining, deduplication groups, numbered by their least isolate."""
+    m = table(spark, sf_dir, "isolate_metadata")
+    u = leakage_units(m, "isolate_id", {"L": label_key(F.col("lineage_group"))}, {"D": label_key(F.col("deduplication_group"))}, 5)
+    return dense_labels(u, "unit", "cv-group-%06d").select("isolate_id", "unit", "label", "size")
 
 
 @registry.query("balanced_folds")
@@ -235,8 +242,8 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ELEMENT_SQL = "el as (select distinct l_suppkey record, case p_partkey % 5 when 0 then 'blaCTX-M-' || (p_partkey % 30) when 1 then 'qnrB' || (p_partkey % 9) when 2 then 'aac-IVa' when 3 then 'gyrA_S83L' else 'tet' || (p_partkey % 4) end symbol, upper(split_part(p_type, ' ', 1)) || '/' || p_brand classes from lineitem join part on l_partkey = p_partkey)"
-FAMILY_SQL = "case when symbol like '%\\_%' escape '\\' then null when regexp_matches(symbol, '^(bla[A-Za-z]+(-[A-Za-z]+)?)(-[0-9]+[A-Za-z]*)?$') then regexp_extract(symbol, '^(bla[A-Za-z]+(?:-[A-Za-z]+)?)(?:-[0-9]+[A-Za-z]*)?$', 1) when regexp_matches(symbol, '^(.*?[^0-9])([0-9]+)$') then regexp_replace(regexp_extract(symbol, '^(.*?[^0-9])([0-9]+)$', 1), '-$', '') when regexp_matches(symbol, '^(.*-[IVX]+)[a-z]$') then regexp_extract(symbol, '^(.*-[IVX]+)[a-z]$', 1) else symbol end"
+ELEMENT_SQL = "el as (select distinct l_suppkey record, case p_partkey % 5 when 0 then 'blaCTX-M-' || (p_partkey % 30) when 1 then 'qnrB' || (p_partkey % 9) when 2 then case p_partkey % 2 when 0 then 'aac(3)-IVa' else 'aac(6'')-Ib' || (p_partkey % 7) end when 3 then 'gyrA_S83L' else 'tet' || (p_partkey % 4) end symbol, upper(split_part(p_type, ' ', 1)) || '/' || p_brand classes from lineitem join part on l_partkey = p_partkey)"
+FAMILY_SQL = "case when symbol like '%\\_%' escape '\\' then null when regexp_matches(symbol, '^bla[A-Za-z]+(-[A-Za-z]+)?(-[0-9]+[A-Za-z]*)?$') then regexp_replace(symbol, '-[0-9]+[A-Za-z]*$', '') else regexp_replace(regexp_replace(symbol, '([^0-9])[0-9]+$', '\\1'), '(-[IVX]+)[a-z]$', '\\1') end"
 HIER_SQL = f"{ELEMENT_SQL}, hier as (select record, symbol feature from el union select record, 'family:' || {FAMILY_SQL} from el union select record, 'class:' || trim(c) from (select record, unnest(string_split(classes, '/')) c from el))"
 
 
@@ -244,7 +251,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     j = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("record")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == k)
     m = lambda n: (k % n).cast("string")
-    symbol = F.when(k % 5 == 0, F.concat(F.lit("blaCTX-M-"), m(30))).when(k % 5 == 1, F.concat(F.lit("qnrB"), m(9))).when(k % 5 == 2, "aac-IVa").when(k % 5 == 3, "gyrA_S83L").otherwise(F.concat(F.lit("tet"), m(4)))
+    symbol = F.when(k % 5 == 0, F.concat(F.lit("blaCTX-M-"), m(30))).when(k % 5 == 1, F.concat(F.lit("qnrB"), m(9))).when((k % 5 == 2) & (k % 2 == 0), "aac(3)-IVa").when(k % 5 == 2, F.concat(F.lit("aac(6')-Ib"), m(7))).when(k % 5 == 3, "gyrA_S83L").otherwise(F.concat(F.lit("tet"), m(4)))
     return j.select("record", symbol.alias("symbol"), F.concat(F.upper(F.substring_index("p_type", " ", 1)), F.lit("/"), "p_brand").alias("classes")).distinct()
 
 
@@ -331,12 +338,18 @@ def tables_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(a.subtract(b), "only_metadata").unionByName(n(b.subtract(a), "only_isolates")).unionByName(n(a.intersect(b), "both"))
 
 
-@registry.query("request_batches", "with b as (select distinct biosample_accession b, ntile(16) over (order by biosample_accession) batch from (select distinct biosample_accession from sequence_requests where biosample_accession is not null)) select batch, count(*) n, sha256(string_agg(b, chr(10) order by b)) digest from b group by 1")
+@registry.query("request_batches", f"with b as (select b, ntile(16) over (order by b) batch, (row_number() over (order by b) - 1) // {BLOCK} block from (select distinct biosample_accession b from sequence_requests where biosample_accession is not null)), d as (select batch, block, count(*) n, sha256(string_agg(b, chr(10) order by b)) h from b group by 1, 2) select batch, sum(n)::bigint n, sha256(string_agg(h, chr(10) order by block)) digest from d group by 1")
 def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen batches of requests in order, with the digest of each list; the list of requests is what one service call set holds."""
+    """Sixteen batches of requests in order; a batch's digest is that of the digests of its blocks of consecutive requests, so no list is
+    gathered whole."""
     b = table(spark, sf_dir, "sequence_requests").select(F.col("biosample_accession").alias("b")).where("b is not null").distinct()
-    b = b.withColumn("batch", F.ntile(16).over(Window.orderBy("b")))
-    return b.groupBy("batch").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("b")), "\n"), 256).alias("digest"))
+    b = ranked(b, "b")
+    k, n = F.col("rank"), F.col("of")
+    least, more = F.floor(n / 16), n % 16  # the first n % 16 batches hold one more
+    batch = F.when(k < more * (least + 1), F.floor(k / (least + 1))).otherwise(more + F.floor((k - more * (least + 1)) / F.greatest(least, F.lit(1))))
+    d = b.groupBy((batch + 1).cast("int").alias("batch"), F.floor(k / BLOCK).alias("block")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("b")), "\n"), 256).alias("h"))
+    digests = F.array_sort(F.collect_list(F.struct("block", "h")))
+    return d.groupBy("batch").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(digests, lambda x: x.h), "\n"), 256).alias("digest"))
 
 
 @registry.query("largest_by_network", f"with {META_SQL}, g as (select coalesce(network, 'none') network, lineage, count(*) n from meta where lineage is not null group by 1, 2) select network, lineage, n from (select *, row_number() over (partition by network order by n desc, lineage) k from g) where k <= 3")

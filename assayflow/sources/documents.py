@@ -19,7 +19,7 @@ def antibiogram_rows(df: DataFrame, xml: str) -> DataFrame:
     """Rows of the antibiogram tables of BioSample XML texts (one element or a set of them), with a stable row id.
 
     Columns: those of ANTIBIOGRAM, row_id (accession and 20 hex digits of the hash of its place and cells), fields (header to
-    cell). Texts that are no XML give no rows, samples without a table none either; a ragged row is padded with nulls.
+    cell). Texts that are no XML give no rows (see unreadable()), samples without a table none either; a ragged row is padded with nulls.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,6 +48,28 @@ def antibiogram_rows(df: DataFrame, xml: str) -> DataFrame:
     return rows.withColumn("row_id", F.concat_ws("-", "accession", F.substring(digest, 1, 20))).withColumn("fields", F.when(F.size(F.array_distinct("header")) == F.size("header"), fields))
 
 
+def unreadable(df: DataFrame, xml: str) -> DataFrame:
+    """(record_sha256, reason) of the texts that antibiogram_rows and run_rows can't read, null ones too; refuse them with contracts.refuse
+    where a source must be whole. Every text is either read or listed here."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for text in b["x"]:
+                try:
+                    ElementTree.fromstring(text)
+                except TypeError:
+                    out.append("no text")
+                except ElementTree.ParseError as e:
+                    out.append(f"no XML: {e}")
+                else:
+                    out.append(None)
+            yield pd.DataFrame({"record_sha256": b["h"], "reason": out})
+
+    texts = df.select(F.col(xml).alias("x"), F.sha2(F.col(xml), 256).alias("h"))
+    return texts.mapInPandas(run, "record_sha256 string, reason string").where("reason is not null")
+
+
 def run_rows(df: DataFrame, xml: str) -> DataFrame:
     """(run, experiment, sample, attributes) of SRA experiment package XML texts."""
     schema = "run string, experiment string, sample string, attributes map<string,string>"

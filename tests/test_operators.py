@@ -160,3 +160,31 @@ def test_features(spark):
     assert {x.feature for x in hierarchy(d, "r", "s", "c").collect()} == {"blaTEM-1", "gyrA_S83L", "family:blaTEM", "class:A", "class:B"}
     v = mean_vectors(spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, None)], "k int, v array<double>"), ["k"], "v").collect()
     assert [(r.k, r.vector) for r in v] == [(1, [2.0, 3.0])]
+
+
+def test_score_curve_in_ranges(spark):
+    """Cumulated over ranges and offsets as over one sorted list, with ties, nulls and a key of few scores."""
+    r = random.Random(5)
+    rows = [("a", r.randrange(2), round(r.random(), 3)) for _ in range(4000)] + [("b", 1, 0.5), ("b", 0, 0.5), ("c", 1, 0.25), ("a", 1, None)]
+    df = spark.createDataFrame(rows, "k string, y int, s double")
+    got = {(x.k, x.score): (x.pos, x.neg, x.pos_ge, x.neg_ge, x.P, x.N) for x in agg.score_curve(df, ["k"], "y", "s").collect()}
+    want = {}
+    for k, s in {(k, s) for k, _, s in rows if s is not None}:
+        mine = [(y, t) for q, y, t in rows if q == k and t is not None]
+        n = lambda y, keep: sum(v == y and keep(t) for v, t in mine)  # noqa: B023, E731
+        want[k, s] = (n(1, lambda t: t == s), n(0, lambda t: t == s), n(1, lambda t: t >= s), n(0, lambda t: t >= s), n(1, lambda t: True), n(0, lambda t: True))  # noqa: B023
+    assert got == want
+    assert agg.score_curve(df.limit(0), ["k"], "y", "s").count() == 0
+
+
+def test_values_of_violations_are_exact(spark):
+    rows = [("k", f"v{i}") for i in range(1000)] + [("one", "x"), ("one", "x"), (None, "x"), ("two", None)]
+    got = contracts.dependency_violations(spark.createDataFrame(rows, "a string, b string"), "a", "b").collect()
+    assert [tuple(r) for r in got] == [("k", 1000)]
+
+
+def test_places_in_order(spark):
+    rows = [(f"k{i % 700:04d}",) for i in range(2000)] + [(None,)]
+    got = graph.ranked(spark.createDataFrame(rows, "k string").repartition(7), "k").collect()
+    assert {r.k: (r["rank"], r["of"]) for r in got} == {f"k{i:04d}": (i, 700) for i in range(700)}
+    assert graph.ranked(spark.createDataFrame([], "k string"), "k").count() == 0

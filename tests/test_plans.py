@@ -62,3 +62,37 @@ def test_bootstrap_queries_take_2000_draws(spark, monkeypatch):
         row = got.where("statistic in ('agreement', 'difference')").first()
         assert [row.lo, row.hi] == pytest.approx(list(np.quantile(means, [0.025, 0.975])), abs=2e-6)
         assert [row.lo, row.hi] != pytest.approx(list(np.quantile(means[:200], [0.025, 0.975])), abs=2e-6)
+
+
+def test_both_models_on_either_side(spark, monkeypatch):
+    rows = [(1, "a", 0.0), (1, "b", 0.0), (1, "b2", 0.0), (2, "b", 0.0), (2, "b2", 1.0), (2, "c", 0.0), (2, "d", 0.0), (2, "e", 0.0)]
+    df = spark.createDataFrame(rows, "model int, id string, predicted double")
+    monkeypatch.setattr(measures, "predictions", lambda spark, sf_dir: df)
+    assert {tuple(r) for r in measures.models_side_by_side(spark, "").collect()} == {("both", 2), ("left_only", 1), ("right_only", 3)}
+
+
+def test_requests_in_batches(spark, tmp_path):
+    """Batches and digests of digests against a list, for fewer requests than batches, none, and repeats."""
+    for n in (0, 1, 5, 16, 2503):
+        names = [f"S{i:06d}" for i in range(n)]
+        spark.createDataFrame([(x,) for x in [*names, *names[:3], None]], "biosample_accession string").write.parquet(f"{tmp_path}/{n}/sequence_requests.parquet")
+        want, at = {}, 0
+        for b in range(16):
+            size = n // 16 + (b < n % 16)
+            mine = list(enumerate(names))[at : at + size]
+            at += size
+            blocks = {}
+            for k, x in mine:
+                blocks.setdefault(k // tables.BLOCK, []).append(x)
+            if mine:
+                want[b + 1] = (size, hashlib.sha256("\n".join(hashlib.sha256("\n".join(v).encode()).hexdigest() for _, v in sorted(blocks.items())).encode()).hexdigest())
+        assert {r.batch: (r.n, r.digest) for r in tables.request_batches(spark, f"{tmp_path}/{n}").collect()} == want
+
+
+def test_routing_with_null_and_placeholder_ids(spark, tmp_path):
+    columns = ["scientific_name", "mic_secondary", "disk_diffusion_secondary", "raw_ast_value", "measurement_sign", "antibiotic", "isolate_id", "biosample_accession", "source_ast_record_id", "source_dataset"]
+    row = lambda rid: ("Escherichia coli", None, None, "2", "=", "x", "i", "b", rid, "d")
+    ids = [None] * 40 + ["unknown"] * 30 + ["r1", "r2", "r2", "r3"]
+    df = spark.createDataFrame([row(r) for r in ids], ", ".join(f"{c} string" for c in columns)).selectExpr("*", "1 as source_row_number")
+    df.write.parquet(f"{tmp_path}/normalized_ast.parquet")
+    assert {r.reason: r.n_rows for r in tables.structural_routing(spark, str(tmp_path)).collect()} == {"included": 42, "duplicate_record_id": 32}

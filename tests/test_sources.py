@@ -89,3 +89,20 @@ def test_streams(spark, tmp_path):
     stream = without_repeats(spark.readStream.schema("k string, t timestamp, v double").parquet(src), "k", "t")
     route_stream(stream, F.when(F.col("v") <= 0, "nonpositive"), a, b, str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(a).count() == 1 and spark.read.parquet(b).first().reason == "nonpositive"
+
+
+def test_unreadable_texts_are_listed(spark):
+    rows = [("<BioSample/>",), ("<broken",), (None,), ("",)]
+    got = documents.unreadable(spark.createDataFrame(rows, "x string"), "x").collect()
+    assert sorted(r.reason.split(":")[0] for r in got) == ["no XML", "no XML", "no text"]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from assayflow.workspace import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session("spark://host:7077", None))
+    assert shared_dir(session("spark://host:7077", "hdfs://f/")) == "hdfs://f"
