@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.functions.calendar import date_text, days_from_civil, idiv, instant_text, is_date
-from assayflow.text import spaced
+from assayflow.text import computed_once, spaced
 
 # Month names in English, German, French, Spanish, Portuguese, Italian and Dutch, accents removed.
 MONTHS = {
@@ -111,74 +111,66 @@ def _plain(text: Column) -> Column:
     return F.lower(F.translate(spaced(text), "ÀÁÂÃÄàáâãäÉÈÊëéèêÛÜÙûüùÔÖÓôöóÇç", "AAAAAaaaaaEEEeeeeUUUuuuOOOoooCc"))
 
 
-def _parse(t: Column, order: Column) -> Column:
-    """Struct of the parts of a plain date text. kind: y, ym, ymd, local (wall time), instant (seconds); null if it can't be read."""
-    i = lambda p, g: F.regexp_extract(t, p, g).try_cast("int")
-    s = lambda p, g: F.regexp_extract(t, p, g)
+CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?(?: ?([ap])\.?m\.?)?(?: ?(z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[a-z]{2,5}))?"
+YMD, DMY, NAME, GAP, BEFORE = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})", r"([a-z]{3,10})\.?", r"[ -]?", r"(?:t| |, )"
+# Shapes of plain date texts, the first that fits counts: a text becomes its kind, year, month, day, hour, minute, second, half of the day and
+# zone. Kinds: y, ym, ymd; local with a wall time; dmy and mixed, the same two in the order of the site; day, serial and the counts of seconds.
+SHAPES = [
+    (YMD, "ymd|$1|$2|$3"),
+    (YMD + BEFORE + CLOCK, "local|$1|$2|$3|$4|$5|$6|$7|$8"),
+    (DMY, "dmy|$3|$1|$2"),
+    (DMY + BEFORE + CLOCK, "mixed|$3|$1|$2|$4|$5|$6|$7|$8"),
+    (r"(\d{4})-(\d{2})", "ym|$1|$2"),
+    (r"(\d{1,2})[/.-](\d{4})", "ym|$2|$1"),
+    (r"((?:19|20)\d{2})", "y|$1"),
+    (r"((?:19|20)\d{2})(\d{2})(\d{2})", "ymd|$1|$2|$3"),
+    (r"(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(?:(\d{2})(?:[.,]\d+)?)?(z|[+-]\d{2}:?\d{2})?", "local|$1|$2|$3|$4|$5|$6||$7"),
+    (r"(\d{1,2})\.?" + GAP + "(?:de )?" + NAME + GAP + r"(?:de )?,? ?(\d{4})(?:(?: |, |t)" + CLOCK + ")?", "named|$3|$2|$1|$4|$5|$6|$7|$8"),
+    (NAME + GAP + r"(\d{1,2})(?:st|nd|rd|th)?,? ?(\d{4})(?:(?: |, |t)" + CLOCK + ")?", "named|$3|$1|$2|$4|$5|$6|$7|$8"),
+    (r"(\d{4})[ -]" + NAME + r"[ -](\d{1,2})", "named|$1|$2|$3"),
+    (NAME + r"[ -]?(?:de )?(\d{4})", "ym|$2|$1"),
+    (r"\d{5}", "day"),
+    (r"\d{5}\.\d+", "serial"),
+    (r"\d{9,10}(?:\.\d+)?", "seconds"),
+    *[(rf"\d{{{n - 1},{n}}}", f"parts|{n - 10}") for n in (13, 16, 19)],
+]
+
+
+def _shape(t: Column) -> Column:
+    """Array of the parts of a plain date text, the kind first; null if it has no shape of a date."""
+    whole = [(f"^{pattern}$", form) for pattern, form in SHAPES]
+    made = reduce(lambda made, s: made.when(t.rlike(s[0]), F.regexp_replace(t, s[0], s[1])), whole[1:], F.when(t.rlike(whole[0][0]), F.regexp_replace(t, *whole[0])))
+    return F.split(made, r"\|")
+
+
+def _parse(parts: Column, t: Column, order: Column) -> Column:
+    """Struct of the values of the parts. kind: y, ym, ymd, local (wall time), day, serial, instant (seconds)."""
+    text = lambda k: F.get(parts, F.lit(k))
+    number = lambda k: text(k).try_cast("int")
+    shape = text(0)
+    needs = shape.isin("dmy", "mixed")
+    swapped = needs & (order != "mdy")
+    year = F.when(needs & (number(1) < 100), 2000 + number(1)).otherwise(number(1))
     month_of = F.create_map(*[F.lit(x) for k, names in MONTHS.items() for n in names.split() for x in (n, k)])
-
-    def parts(kind: str, y: Column, m: Column | None = None, d: Column | None = None, h: Column | None = None, mi: Column | None = None, sec: Column | None = None, zone: Column | None = None, needs: bool = False) -> Column:
-        zero, none = F.lit(0), F.lit(None).cast("string")
-        return F.struct(F.lit(kind).alias("kind"), y.cast("int").alias("y"), (zero + 1 if m is None else m).cast("int").alias("m"), (zero + 1 if d is None else d).cast("int").alias("d"), (zero if h is None else h).cast("int").alias("h"), (zero if mi is None else mi).cast("int").alias("mi"), (zero if sec is None else F.coalesce(sec, zero)).cast("int").alias("s"), (none if zone is None else zone).alias("zone"), F.lit(needs).alias("needs"), F.lit(None).cast("long").alias("at"))
-
-    def counted(kind: str, at: Column) -> Column:
-        n = lambda k: F.lit(0).alias(k)
-        return F.struct(F.lit(kind).alias("kind"), n("y"), n("m"), n("d"), n("h"), n("mi"), n("s"), F.lit(None).cast("string").alias("zone"), F.lit(False).alias("needs"), at.cast("long").alias("at"))
-
-    clock = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?(?: ?([ap])\.?m\.?)?(?: ?(z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[a-z]{2,5}))?"
-    full = lambda h: F.when(h < 100, 2000 + h).otherwise(h)
-    rules: list[tuple[str, Column]] = []
-
-    def wall(p: str, y: Column, m: Column, d: Column, at: int, needs: bool = False) -> Column:
-        """Parts of a date with the groups of clock from number at on."""
-        h, half = i(p, at), s(p, at + 3)
-        h = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
-        sec, zone = i(p, at + 2), s(p, at + 4)
-        return parts("local", y, m, d, h, i(p, at + 1), sec, F.when(zone != "", zone), needs)
-
-    ymd = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
-    p = ymd + r"(?:t| |, )" + clock + "$"
-    rules.append((p, wall(p, i(p, 1), i(p, 2), i(p, 3), 4)))
-    p = r"^(\d{4})(\d{2})(\d{2})t?(\d{2})(\d{2})(\d{2})?(?:[.,]\d+)?(z|[+-]\d{2}:?\d{2})?$"
-    rules.append((r"^\d{8}t\d{4}(?:\d{2}(?:[.,]\d+)?)?(?:z|[+-]\d{2}:?\d{2})?$", parts("local", i(p, 1), i(p, 2), i(p, 3), i(p, 4), i(p, 5), i(p, 6), F.when(s(p, 7) != "", s(p, 7)))))
-    p = ymd + "$"
-    rules.append((p, parts("ymd", i(p, 1), i(p, 2), i(p, 3))))
-    p = r"^(\d{4})-(\d{2})$"
-    rules.append((p, parts("ym", i(p, 1), i(p, 2))))
-    p = r"^(\d{1,2})[/.-](\d{4})$"
-    rules.append((p, parts("ym", i(p, 2), i(p, 1))))
-    p = r"^((?:19|20)\d{2})$"
-    rules.append((p, parts("y", i(p, 1))))
-    p = r"^((?:19|20)\d{2})(\d{2})(\d{2})$"
-    rules.append((p, parts("ymd", i(p, 1), i(p, 2), i(p, 3))))
-    # days and months in the order of the site
-    day = lambda p: F.when(order == "mdy", i(p, 2)).when(order == "dmy", i(p, 1))
-    month = lambda p: F.when(order == "mdy", i(p, 1)).when(order == "dmy", i(p, 2))
-    dmy = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})"
-    p = dmy + "$"
-    rules.append((p, parts("ymd", full(i(p, 3)), month(p), day(p), needs=True)))
-    p = dmy + r"(?:t| |, )" + clock + "$"
-    rules.append((p, wall(p, full(i(p, 3)), month(p), day(p), 4, True)))
-    # month names
-    name, gap = r"([a-z]{3,10})\.?", r"[ -]?"
-    p = r"^(\d{1,2})\.?" + gap + r"(?:de )?" + name + gap + r"(?:de )?,? ?(\d{4})(?:(?: |, |t)" + clock + ")?$"
-    with_clock = lambda p, y, m, d: F.when(s(p, 4) != "", wall(p, y, m, d, 4)).otherwise(parts("ymd", y, m, d))
-    rules.append((p, with_clock(p, i(p, 3), F.try_element_at(month_of, s(p, 2)), i(p, 1))))
-    p = "^" + name + gap + r"(\d{1,2})(?:st|nd|rd|th)?,? ?(\d{4})(?:(?: |, |t)" + clock + ")?$"
-    rules.append((p, with_clock(p, i(p, 3), F.try_element_at(month_of, s(p, 1)), i(p, 2))))
-    p = r"^(\d{4})[ -]" + name + r"[ -](\d{1,2})$"
-    rules.append((p, parts("ymd", i(p, 1), F.try_element_at(month_of, s(p, 2)), i(p, 3))))
-    p = "^" + name + r"[ -]?(?:de )?(\d{4})$"
-    rules.append((p, parts("ym", i(p, 2), F.try_element_at(month_of, s(p, 1)))))
-    # counts of days, seconds and parts of seconds
-    whole = t.try_cast("long")
-    real = t.try_cast("double")
-    rules.append((r"^\d{5}$", F.when(whole.between(*SERIAL_DAYS), counted("day", whole + EXCEL_EPOCH))))
-    rules.append((r"^\d{5}\.\d+$", F.when(real.between(*SERIAL_DAYS), counted("serial", F.floor((real + EXCEL_EPOCH) * 86400 + F.lit(1e-3))))))
-    rules.append((r"^\d{9,10}(?:\.\d+)?$", counted("instant", F.floor(real))))
-    for digits in (13, 16, 19):
-        rules.append((rf"^\d{{{digits - 1},{digits}}}$", counted("instant", idiv_exact(whole, 10 ** (digits - 10)))))
-    return reduce(lambda made, rule: made.when(t.rlike(rule[0]), rule[1]), rules[1:], F.when(t.rlike(rules[0][0]), rules[0][1]))
+    month = F.when(swapped, number(3)).when(text(2).rlike("^[a-z]"), F.try_element_at(month_of, text(2))).otherwise(number(2))
+    day = F.when(swapped, number(2)).otherwise(number(3))
+    known = ~needs | order.isin("mdy", "dmy")
+    half, filled = text(7), lambda k: F.nullif(text(k), F.lit(""))
+    hour = F.when(F.coalesce(half, F.lit("")) == "", number(4)).when(number(4).between(1, 12), number(4) % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
+    clock = filled(4).isNotNull()
+    kind = F.when(shape.isin("local", "mixed", "named"), F.when(clock, "local").otherwise("ymd")).when(shape == "dmy", "ymd").when(shape.isin("seconds", "parts"), "instant").otherwise(shape)
+    whole, real = t.try_cast("long"), t.try_cast("double")
+    at = (
+        F.when(shape == "day", F.when(whole.between(*SERIAL_DAYS), whole + EXCEL_EPOCH))
+        .when(shape == "serial", F.when(real.between(*SERIAL_DAYS), F.floor((real + EXCEL_EPOCH) * 86400 + F.lit(1e-3))))
+        .when(shape == "seconds", F.floor(real))
+        .when(shape == "parts", F.coalesce(*[F.when(number(1) == n, idiv_exact(whole, 10**n)) for n in (3, 6, 9)]))
+    )
+    one = F.lit(1)
+    return F.struct(
+        kind.alias("kind"), F.when(known, year).alias("y"), F.when(shape == "y", one).otherwise(month).alias("m"), F.when(shape.isin("y", "ym"), one).otherwise(day).alias("d"),
+        F.coalesce(hour, F.lit(0)).alias("h"), F.coalesce(number(5), F.lit(0)).alias("mi"), F.coalesce(number(6), F.lit(0)).alias("s"), filled(8).alias("zone"), needs.alias("needs"), at.cast("long").alias("at"),
+    )
 
 
 def idiv_exact(a: Column, b: int) -> Column:
@@ -200,12 +192,13 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
     own = "__ts"
     while any(c.lower().startswith(own) for c in df.columns):
         own = "_" + own
-    plain, ts, zone_, year, like, spans_, secs_ = (f"{own}_{k}" for k in ("plain", "parts", "zone", "year", "like", "spans", "secs"))
+    plain, shape, ts, zone_, year, like, spans_, secs_, at_, offset_, instant_ = (f"{own}_{k}" for k in ("plain", "shape", "parts", "zone", "year", "like", "spans", "secs", "at", "offset", "instant"))
     if zones is None:
         zones = [] if zone is None else known_zones(df, zone)
     null = F.lit(None).cast("string")
-    # the plain text and its parts are columns of their own, so that the plan holds each expression once
-    p = df.withColumn(plain, _plain(F.col(f"`{text}`"))).withColumn(ts, _parse(F.col(plain), F.lower(F.trim(F.col(f"`{order}`"))) if order else null))
+    # what is used more than once is a column of its own, so that the plan holds each expression once
+    p = df.withColumn(plain, _plain(F.col(f"`{text}`"))).withColumn(shape, _shape(F.col(plain)))
+    p = p.withColumn(ts, F.when(F.col(shape).isNotNull(), _parse(F.col(shape), F.col(plain), F.lower(F.trim(F.col(f"`{order}`"))) if order else null)))
     x = lambda k: F.col(f"{ts}.{k}")
     kind = x("kind")
     dated = kind.isin("y", "ym", "ymd", "local") & is_date(x("y"), x("m"), x("d"))
@@ -222,11 +215,14 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
     table = interval_table(spark, zones).toDF(zone_, like, spans_)  # at most the tz database: some 600 zones of 329 years
     p = p.join(F.broadcast(table) if len(zones) <= 100 else table, [zone_, like], "left")
     L, spans = F.col(secs_), F.col(spans_)
-    at = F.when(F.col(year) > LAST, L + (new_year(F.col(like)) - new_year(F.col(year))).cast("long") * 86400).otherwise(L)  # the same moment of the like year
+    p = p.withColumn(at_, F.when(F.col(year) > LAST, L + (new_year(F.col(like)) - new_year(F.col(year))).cast("long") * 86400).otherwise(L))  # the same moment of the like year
+    at = F.col(at_)
     holding = F.filter(spans, lambda v: (v.a <= at) & (at < v.b))
     before = F.filter(spans, lambda v: v.b <= at)
     offset = F.when(F.size(holding) > 0, F.array_max(F.transform(holding, lambda v: v.o))).otherwise(F.try_element_at(F.transform(before, lambda v: v.o), F.lit(-1)))
-    instant = F.when(kind == "instant", x("at")).when(local, L - offset).otherwise(L - minutes * 60)
+    p = p.withColumn(offset_, F.when(local & L.isNotNull(), offset))
+    p = p.withColumn(instant_, F.when(kind == "instant", x("at")).when(local, L - F.col(offset_)).otherwise(L - minutes * 60))
+    instant = F.col(instant_)
     y4 = F.lpad(x("y").cast("string"), 4, "0")
     m2, d2 = F.lpad(x("m").cast("string"), 2, "0"), F.lpad(x("d").cast("string"), 2, "0")
     value = (
@@ -238,4 +234,4 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
     )
     if order:
         value = F.when(~(x("needs") & F.col(f"`{order}`").isNull()), value)
-    return p.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()], value.alias(into))
+    return p.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()], computed_once(value).alias(into))

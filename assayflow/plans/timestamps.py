@@ -22,7 +22,7 @@ def normalised_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = normalised_dates(spark, sf_dir).where(F.col("normalised").isNotNull() & F.col("record_key").isNotNull())
+    found = normalised_dates(spark, sf_dir).where("normalised is not null and record_key is not null")
     return found.select("source_table", "record_key", "normalised").distinct()
 
 

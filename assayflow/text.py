@@ -69,6 +69,12 @@ def alias_coalesce(df: DataFrame, aliases: Iterable[str], tokens: Iterable[str]
     return F.coalesce(*have), F.size(distinct) > 1
 
 
+def computed_once(c: Column) -> Column:
+    """A long computed column that filters are not pushed through: below, they would compute it a second time, and all that it is made of
+    as often as it is used. The number of the task, never negative, keeps the optimizer from it."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def joined_values(c: Column, sep: str = ";") -> Column:
     """Aggregate: distinct values, sorted and joined."""
     return F.array_join(F.array_sort(F.collect_set(c)), sep)
