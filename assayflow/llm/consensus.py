@@ -2,8 +2,8 @@
 
 The values of a group are aligned progressively to a profile, heaviest first; each column of the profile takes a weighted
 vote over its tokens; the existing value closest to the consensus is emitted. Votes are counted by tier, and one vote of
-a higher tier outweighs any number of lower ones, so the consensus follows the best tier that has a usable value at all
-and lower tiers decide only between values that this tier reports alike.
+a higher tier outweighs any number of lower ones: with tiers the consensus follows the best tier that has a usable value
+at all, with a single tier the majority of each column decides.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256  # distinct values of a group that are aligned in one task; larger groups go in blocks whose profiles are merged
+from assayflow.workspace import materialise, ship_package
 
 Votes = dict[str, int]
 Profile = list[dict[str, Votes]]
@@ -61,20 +61,28 @@ def merge(a: Profile, na: Votes, b: Profile, nb: Votes) -> Profile:
     return out[::-1]
 
 
-def profile_of(values: list[tuple[str, Votes]]) -> tuple[Profile, Votes]:
-    """Progressive alignment of texts, heaviest first (then in order of text)."""
-    import functools
+class Alignment:
+    """A profile that takes one text after the other, heaviest first."""
 
-    order = sorted(values, key=lambda v: v[0])
-    order.sort(key=functools.cmp_to_key(lambda x, y: -1 if heavier(x[1], y[1]) else 1 if heavier(y[1], x[1]) else 0))
-    profile: Profile = []
-    total: Votes = {}
-    for k, (text, votes) in enumerate(order):
+    def __init__(self) -> None:
+        self.profile: Profile = []
+        self.total: Votes = {}
+
+    def take(self, text: str, votes: Votes) -> None:
         own: Profile = [{ch: dict(votes)} for ch in text]
-        profile = merge(profile, total, own, votes) if k else own
+        self.profile = merge(self.profile, self.total, own, votes) if self.total else own
         for tier, n in votes.items():
-            total[tier] = total.get(tier, 0) + n
-    return profile, total
+            self.total[tier] = self.total.get(tier, 0) + n
+
+
+def profile_of(values: list[tuple[str, Votes]]) -> tuple[Profile, Votes]:
+    """Progressive alignment of a list of texts, heaviest first, then in order of text."""
+    order = sorted(values, key=lambda v: v[0])
+    order.sort(key=lambda v: sorted(v[1].items(), reverse=True), reverse=True)
+    held = Alignment()
+    for text, votes in order:
+        held.take(text, votes)
+    return held.profile, held.total
 
 
 def consensus(profile: Profile) -> str:
@@ -90,39 +98,40 @@ def consensus(profile: Profile) -> str:
 
 
 def closest_to_consensus(votes: DataFrame, group: str, value: str, tier: str, n: str) -> DataFrame:
-    """(group, value): of each group the value, among those its best tier reports, that is closest to the consensus of all.
+    """(group, value): of each group the reported value that is closest to the consensus of all its values.
 
-    votes has a row for each group, value (text) and tier (texts, the greatest is best) with the number n of records.
-    Ties in distance go to the value with more records in the best tier, then to the lesser text. Rows with a null group,
-    value or tier don't vote. Groups of one value are emitted as they are.
+    votes has a row for each group, value (text) and tier (texts, the greatest is best) with the number n of records. Values are aligned
+    in the order of their votes (the highest tier in which two differ decides), then of their text. Ties in distance go to the value with
+    more votes in the same sense, then to the lesser text. Rows with a null group, value or tier don't vote. Groups of one value are
+    emitted as they are. The values of a group pass through one task one at a time, sorted before; only the profile is held.
     """
+    spark = votes.sparkSession
+    ship_package(spark)
     v = votes.select(F.col(f"`{group}`").alias("g"), F.col(f"`{value}`").alias("v"), F.col(f"`{tier}`").alias("t"), F.col(f"`{n}`").alias("n")).where("g is not null and v is not null and t is not null")
-    # tiers are few, so the votes of a value stay small however many records report it
-    v = v.groupBy("g", "v", "t").agg(F.sum("n").alias("n")).groupBy("g", "v").agg(F.max("t").alias("best"), F.max_by("n", "t").alias("n_best"), F.to_json(F.map_from_entries(F.collect_list(F.struct("t", "n")))).alias("votes"))
-    groups = v.groupBy("g").agg(F.count("*").alias("k"), F.max("best").alias("top"))
-    v = v.join(groups, "g")
-    single = v.where("k = 1").select("g", "v")
-    many = v.where("k > 1").withColumn("block", F.pmod(F.xxhash64("v"), F.floor((F.col("k") - 1) / BLOCK) + 1))
-    packed = many.groupBy("g", "block").agg(F.collect_list(F.struct("v", "votes")).alias("vs"))
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"g": b["g"], "profile": [json.dumps(profile_of([(x["v"], json.loads(x["votes"])) for x in vs])) for vs in b["vs"]]})
-
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # tiers are few, so the votes of a value stay small however many records report it; from the highest down, they compare as arrays do
+    v = v.groupBy("g", "v", "t").agg(F.sum("n").alias("n")).groupBy("g", "v").agg(F.sort_array(F.collect_list(F.struct("t", "n")), asc=False).alias("votes"))
+    v, _ = materialise(v, "votes")
+    several = v.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("g")
+    single = v.join(several, "g", "left_anti").select("g", "v")
+    many = v.join(several, "g", "left_semi")
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, Alignment()
         for b in batches:
-            out = []
-            for ps in b["profiles"]:
-                profile, total = json.loads(ps[0])
-                for p in ps[1:]:
-                    other, votes = json.loads(p)
-                    profile = merge(profile, total, other, votes)
-                    total = {t: total.get(t, 0) + votes.get(t, 0) for t in total.keys() | votes.keys()}
-                out.append(consensus(profile))
-            yield pd.DataFrame({"g": b["g"], "agreed": out})
-
-    profiles = packed.mapInPandas(blocks, "g string, profile string")
-    agreed = profiles.groupBy("g").agg(F.array_sort(F.collect_list("profile")).alias("profiles")).mapInPandas(merged, "g string, agreed string")
-    rank = F.struct(F.levenshtein("v", "agreed").alias("distance"), (-F.col("n_best")).alias("n"), "v")
-    chosen = many.where("best = top").join(agreed, "g").groupBy("g").agg(F.min(rank).alias("r")).select("g", F.col("r.v").alias("v"))
+            done = []
+            for g, text, votes in zip(b["g"], b["v"], b["votes"], strict=True):
+                if g != at:
+                    if at is not None:
+                        done.append((at, consensus(held.profile)))
+                    at, held = g, Alignment()
+                held.take(text, {x["t"]: x["n"] for x in json.loads(votes)})
+            yield pd.DataFrame(done, columns=["g", "agreed"])
+        if at is not None:
+            yield pd.DataFrame([(at, consensus(held.profile))], columns=["g", "agreed"])
+
+    ordered = many.repartition("g").sortWithinPartitions("g", F.desc("votes"), "v").select("g", "v", F.to_json("votes").alias("votes"))
+    agreed = ordered.mapInPandas(aligned, "g string, agreed string")
+    near = many.join(agreed, "g").withColumn("distance", F.levenshtein("v", "agreed"))
+    best = near.groupBy("g").agg(F.max(F.struct((-F.col("distance")).alias("d"), "votes")).alias("b"))
+    chosen = near.join(best, "g").where((-F.col("distance") == F.col("b.d")) & (F.col("votes") == F.col("b.votes"))).groupBy("g").agg(F.min("v").alias("v"))
     return single.unionByName(chosen).select(F.col("g").alias(group), F.col("v").alias(value))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayflow.llm.components import connected_components
 from assayflow.llm.consensus import closest_to_consensus
 from assayflow.plans.common import Registry, table
-from assayflow.text import PLACEHOLDERS
+from assayflow.text import PLACEHOLDERS, is_placeholder
 from assayflow.workspace import materialise
 
 registry = Registry()
@@ -20,33 +20,33 @@ SIGNS = {"=": "=", "==": "=", "<": "<", "<=": "<=", "=<": "<=", "≤": "<=", ">"
 BARE = tuple({p.replace(" ", "") for p in PLACEHOLDERS})
 
 
-def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of normalized_ast as (rid, chk, tier, sign, nano); a mere projection, so every use reads the table again."""
+def _reports(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of normalized_ast as (also, rid, chk, tier, sign, nano); a mere projection, so every use reads the table again."""
     bare = lambda c: F.translate(F.lower(c), " \t\r\n\u00a0", "")
     rid = bare("source_ast_record_id")
     rid = F.when(rid.startswith("ncbi-ast"), F.ltrim(F.substring(rid, 9, 1 << 20), F.lit("-:_"))).otherwise(rid)
     chk = bare("source_record_checksum")
     sign = F.try_element_at(F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv]), bare("measurement_sign"))
-    usable = (F.col("ast_value") > 0) & (F.col("ast_value") < F.lit(9.2e9))
-    nano = F.when(usable & ~F.isnan("ast_value"), F.round(F.col("ast_value") * 1e9).cast("long"))
+    usable = (F.col("ast_value") > 0) & (F.col("ast_value") < float("inf")) & ~F.isnan("ast_value")
+    nano = F.when(usable, F.least(F.round(F.col("ast_value") * 1e9), F.lit(float(1 << 62))).cast("long"))  # greater ones don't fit and become 2^62
     trust = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.lower(F.trim("source_dataset"))), F.lit("0"))
     tier = F.concat_ws("|", F.coalesce(F.trim("source_release"), F.lit("")), trust)
-    rows = table(spark, sf_dir, "normalized_ast").select(F.when(~rid.isin(*BARE), rid).alias("rid"), F.when(~chk.isin(*BARE) & (F.ltrim(chk, F.lit("0")) != ""), chk).alias("chk"), tier.alias("tier"), sign.alias("sign"), nano.alias("nano"))
+    rows = table(spark, sf_dir, "normalized_ast").select(*[F.col(c) for c in also], F.when(~rid.isin(*BARE), rid).alias("rid"), F.when(~chk.isin(*BARE) & (F.ltrim(chk, F.lit("0")) != ""), chk).alias("chk"), tier.alias("tier"), sign.alias("sign"), nano.alias("nano"))
     return rows.where("rid is not null or chk is not null")
 
 
-def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(test, tier, sign, nano): the rows with the test they belong to. Ids that share a checksum, directly or through others, are
+def tests(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(test, tier, sign, nano, also): the rows with the test they belong to. Ids that share a checksum, directly or through others, are
     one test. Only checksums of several ids, or of rows without an id, are followed further: each other id is its own test.
     """
-    rows = _reports(spark, sf_dir)
+    rows = _reports(spark, sf_dir, also)
     by_sum = rows.where("chk is not null").groupBy("chk").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.max(F.col("rid").isNull()).alias("nameless"))
     by_sum, _ = materialise(by_sum.where("nameless or first <> last"), "checksums")
     ties = rows.where("rid is not null and chk is not null").select("rid", "chk").join(by_sum.where("first <> last").select("chk", "first"), "chk").where("rid <> first").select("rid", "first").distinct()
     of = connected_components(ties, "rid", "first")
-    named = rows.where("rid is not null").select(F.col("rid").alias("key"), "tier", "sign", "nano")
-    nameless = rows.where("rid is null").join(by_sum.where("nameless").select("chk", "first"), "chk").select(F.coalesce("first", F.concat(F.lit("checksum "), "chk")).alias("key"), "tier", "sign", "nano")
-    return named.unionByName(nameless).join(of.withColumnRenamed("id", "key"), "key", "left").select(F.coalesce("component", "key").alias("test"), "tier", "sign", "nano")
+    named = rows.where("rid is not null").select(F.col("rid").alias("key"), "tier", "sign", "nano", *also)
+    nameless = rows.where("rid is null").join(by_sum.where("nameless").select("chk", "first"), "chk").select(F.coalesce("first", F.concat(F.lit("checksum "), "chk")).alias("key"), "tier", "sign", "nano", *also)
+    return named.unionByName(nameless).join(of.withColumnRenamed("id", "key"), "key", "left").select(F.coalesce("component", "key").alias("test"), "tier", "sign", "nano", *also)
 
 
 _blank = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
@@ -58,7 +58,7 @@ with recursive t as (
     case when lower(trim(source_record_checksum)) not in ({_blank}) and not regexp_matches(source_record_checksum, '^ *0+ *$') then lower(trim(source_record_checksum)) end chk,
     trim(source_release) || '|' || case lower(trim(source_dataset)) when 'ncbi pathogen detection ast' then '3' when 'biosample antibiogram' then '2' when 'legacy mirror' then '1' else '0' end tier,
     case regexp_replace(measurement_sign, '\\s+', '', 'g') when '=' then '=' when '==' then '=' when '<' then '<' when '<=' then '<=' when '≤' then '<=' when '>' then '>' when '>=' then '>=' when '≥' then '>=' end sign,
-    case when ast_value > 0 and not isnan(ast_value) and ast_value < 9.2e9 then round(ast_value * 1e9)::bigint end nano
+    case when ast_value > 0 and not isnan(ast_value) and ast_value < 'infinity'::double then least(round(ast_value * 1e9), 4611686018427387904.0)::bigint end nano
   from normalized_ast),
 edge as (select distinct x.rid a, y.rid b from t x join t y on x.chk = y.chk where x.rid is not null and y.rid is not null),
 reach as (select a, b from edge union select r.a, e.b from reach r join edge e on r.b = e.a where e.a <> e.b),
@@ -86,6 +86,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_of.join(pick, "test", "left").select(F.col("test").alias("record_id"), F.coalesce("s", "s1", F.lit("")).alias("measurement_sign"), F.coalesce(F.col("v").try_cast("long"), "v1", F.lit(-1)).alias("value_nano"))
 
 
+@registry.query("p2_consensus")
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, field, value, n_values): fields for which no release goes before another, of the tests that report several values; all rows
+    vote, and the alignment decides."""
+    fields = ("raw_antibiotic", "ast_platform")
+    rows = tests(spark, sf_dir, fields)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("r")
+    votes = rows.select("test", each).select("test", "r.field", "r.v").where(~is_placeholder(F.col("v")))
+    votes, _ = materialise(votes.groupBy("test", "field", "v").agg(F.count("*").alias("n")), "reported")
+    several = votes.groupBy("test", "field").agg(F.count("*").alias("n_values")).where("n_values > 1")
+    named = votes.join(several, ["test", "field"]).select(F.concat_ws("|", "field", "test").alias("g"), "v", F.lit("").alias("t"), "n")
+    chosen = closest_to_consensus(named, "g", "v", "t", "n")
+    split = chosen.select(F.expr("substring(g, instr(g, '|') + 1)").alias("test"), F.substring_index("g", "|", 1).alias("field"), F.col("v").alias("value"))
+    return split.join(several, ["test", "field"]).select(F.col("test").alias("record_id"), "field", "value", "n_values")
+
+
 @registry.query("p2_disputes")
 def p2_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By latest release: tests of several rows, and those whose usable signs or values differ."""

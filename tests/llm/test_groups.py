@@ -119,3 +119,47 @@ def test_large_group_goes_in_blocks(spark):
     rows = [("g", f"{i:05}", "1", 1) for i in range(600)] + [("g", "00421", "2", 1)]
     got = closest_to_consensus(spark.createDataFrame(rows, "g string, v string, t string, n long"), "g", "v", "t", "n").collect()
     assert [(x.g, x.v) for x in got] == [("g", "00421")]
+
+
+def record_rows(spark, path, rows):
+    columns = "source_ast_record_id string, source_record_checksum string, measurement_sign string, ast_value double, source_dataset string, source_release string, raw_antibiotic string, ast_platform string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{path}/normalized_ast.parquet")
+
+
+def test_alignment_decides_where_no_release_goes_before(spark, tmp_path):
+    """Columns outvote the most frequent value: picking that one instead of aligning gives other rows."""
+    from assayflow.llm.q_records import p2_consensus, p2_found
+
+    names = ["ceftriaxone 30", "ceftriaxon 30", "ceftriaxone", "ceftriaxone 3", "cro", "cro"]
+    rows = [("r1", None, "=", float(2**i), "legacy mirror", f"20{i}", n, None) for i, n in enumerate(names)]
+    rows += [("r2", None, "<=", 2.0, "legacy mirror", "201", "gentamicin", "Osmora"), ("r2", None, "<", float("inf"), "x", "209", "gentamicin", "n/a"), ("r3", None, None, None, "x", "1", None, None), ("r2", None, None, 4e18, "x", "300", None, "")]
+    record_rows(spark, tmp_path, rows)
+    got = {(x.record_id, x.field): x.value for x in p2_consensus(spark, str(tmp_path)).collect()}
+    most_frequent = max(sorted(set(names)), key=names.count)
+    assert got == {("r1", "raw_antibiotic"): "ceftriaxone"} and most_frequent == "cro"
+    best = {x.record_id: (x.measurement_sign, x.value_nano) for x in p2_found(spark, str(tmp_path)).collect()}
+    assert best == {"r1": ("=", 32 * 10**9), "r2": ("<", 1 << 62)}
+
+
+def test_streamed_alignment_is_that_of_a_list(spark):
+    """Groups of 600 values pass a task one by one, and end as if they had been a list."""
+    r = random.Random(2)
+    rows = [(f"g{k}", "".join(r.choice("0123456789") for _ in range(r.randrange(2, 6))), r.choice("abc"), r.randrange(1, 4)) for k in range(2) for _ in range(700)]
+    rows += [("g0", v, t, n) for _, v, t, n in rows[:20]]
+    votes = {}
+    for g, v, t, n in rows:
+        d = votes.setdefault(g, {}).setdefault(v, {})
+        d[t] = d.get(t, 0) + n
+    got = {x.g: x.v for x in closest_to_consensus(spark.createDataFrame(rows, "g string, v string, t string, n long"), "g", "v", "t", "n").collect()}
+    for g, vs in votes.items():
+        agreed = consensus(profile_of(list(vs.items()))[0])
+        assert got[g] == min(vs, key=lambda v: (edits(v, agreed), [(-ord(t), -n) for t, n in sorted(vs[v].items(), reverse=True)], v))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
