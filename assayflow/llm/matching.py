@@ -10,6 +10,8 @@ only fill the driver.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,7 @@ from pyspark.sql.window import Window
 from assayflow.workspace import discard, materialise
 
 BOUND = 30.0  # of log odds, so that exp() stays finite
+DAMP_AFTER = 20  # rounds
 
 
 def bounded(c: Column) -> Column:
@@ -63,11 +66,12 @@ def contested_groups(p: DataFrame) -> DataFrame:
     return p.join(rivals("a").hint("merge"), "a", "left_semi").select("grp").unionByName(p.join(rivals("b").hint("merge"), "b", "left_semi").select("grp")).unionByName(several).distinct()
 
 
-def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.05, most_rounds: int = 40, group_most: float = 8.0) -> DataFrame:
+def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.05, most_rounds: int = 200, group_most: float = 8.0) -> DataFrame:
     """(a, b, probability) of candidates(a, b, grp, z, s): rows a and b with log odds s; grp is the group of a, z the entity of b.
 
     Each pair comes once; a null grp is a group of the row alone. Groups without rivals have their messages after one round; the others go on
-    until no message changes by more than the tolerance. An empty table gives an empty one. Ties (equal rows) share the probability.
+    until no message changes by more than the tolerance. Messages that swing are damped more after every DAMP_AFTER rounds; should any still
+    move after most_rounds, a warning tells how many pairs. An empty table gives an empty one. Ties (equal rows) share the probability.
     """
     spark = candidates.sparkSession
     zero = F.lit(0.0)
@@ -75,7 +79,10 @@ def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.
     contested, _ = materialise(contested_groups(pairs), "contested")
     calm = group_messages(pairs.join(contested.hint("merge"), "grp", "left_anti").withColumn("g", zero), F.col("s"), group_most).withColumns({"x": zero, "y": zero})
     p, path = materialise(pairs.join(contested.hint("merge"), "grp", "left_semi").withColumns({"g": zero, "x": zero, "y": zero}), "pairs")
-    for _ in range(most_rounds):
+    moved: float | None = None
+    for number in range(most_rounds):
+        if number and number % DAMP_AFTER == 0:
+            damping = (1 + damping) / 2
         n = group_messages(p.withColumn("g0", F.col("g")), F.col("s") + F.col("y"), group_most)
         n = n.withColumn("g", F.col("g0") * damping + F.col("g") * (1 - damping)).drop("g0")
         n = others(n, "a", F.exp(bounded(F.col("s") + F.col("g") + F.col("y")))).withColumn("x1", F.col("x") * damping - F.log1p("__rest") * (1 - damping)).drop("__rest")
@@ -86,6 +93,8 @@ def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.
         p, path = n.drop("move"), new
         if moved is None or moved < tolerance:
             break
+        if number == most_rounds - 1:
+            warnings.warn(f"messages of {n.where(F.col('move') >= tolerance).count()} pairs still move after {most_rounds} rounds", stacklevel=2)
     both = p.unionByName(calm.select(*p.columns))
     out, _ = materialise(both.select("a", "b", (1 / (1 + F.exp(-bounded(F.col("s") + F.col("g") + F.col("x") + F.col("y"))))).alias("probability")), "beliefs")
     discard(spark, path)

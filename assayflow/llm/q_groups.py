@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assayflow.llm.components import connected_components
 from assayflow.llm.overlap import cross_split_matches
@@ -65,6 +66,15 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(dealt, "unit").select("isolate_id", F.col("unit").alias("unit_id"), "unit_size", "split")
 
 
+@registry.query("p1_shares")
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By new split: units, isolates, their share and the proportion that was asked for."""
+    s = p1_splits(spark, sf_dir).groupBy("split").agg(F.countDistinct("unit_id").alias("n_units"), F.count("*").alias("n_isolates"))
+    total = F.sum("n_isolates").over(Window.partitionBy(F.lit(1)))  # one row for each split
+    asked = F.coalesce(*[F.when(F.col("split") == name, F.lit(part)) for name, part in SPLITS])
+    return s.select("split", "n_units", "n_isolates", F.round(F.col("n_isolates") / total, 6).alias("share"), asked.alias("asked"))
+
+
 @registry.query("p1_forest")
 def p1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The persisted spanning forest: the links that hold the units together."""
@@ -95,20 +105,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(spelled, "a", "b").select(F.col("id").alias("sequence_id"), F.col("component").alias("component_id"))
 
 
-def shared_identities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """((isolate_id, side, kind, key, surveillance_network) of all isolates, (kind, key, coverage) that both sides hold).
+def identity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(isolate_id, side, surveillance_network, keys, text_id, text): each isolate's record as a text of its identities, a letter for the kind and
+    the 64 digits of the hash of its label each. Labels that differ in one digit share no run; records with one identity in common share a
+    passage of 65 characters, wherever it stands."""
+    kinds = {"L": label_key(F.col("deduplication_group")), "K": label_key(F.col("genomic_cluster")), "G": F.when(~is_placeholder(F.col("genome_sha256")), F.lower(F.trim("genome_sha256")))}
+    keys = F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat(F.lit(k), F.sha2(F.concat_ws(":", F.lit(k), c), 256))) for k, c in kinds.items()]))
+    rows = table(spark, sf_dir, "isolate_metadata").select("isolate_id", split_key().alias("side"), "surveillance_network", keys.alias("keys")).where("isolate_id is not null and side is not null")
+    text = F.array_join("keys", "")
+    rows, _ = materialise(rows.where(F.size("keys") > 0).withColumns({"text": text, "text_id": F.sha2(text, 256)}).distinct(), "identities")
+    return rows
+
 
-    An identity is compared as the text of its SHA-256, so that labels differing in one digit share no run; one window
-    covers the text's 49 runs of 16, and only texts covered in full are the same identity.
-    """
-    kinds = {"D": label_key(F.col("deduplication_group")), "C": label_key(F.col("genomic_cluster")), "G": F.when(~is_placeholder(F.col("genome_sha256")), F.lower(F.trim("genome_sha256")))}
-    ids = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in kinds.items()]))
-    rows = table(spark, sf_dir, "isolate_metadata").select("isolate_id", split_key().alias("side"), "surveillance_network", ids.alias("i")).select("isolate_id", "side", "surveillance_network", "i.kind", "i.key")
-    rows, _ = materialise(rows.where("isolate_id is not null and side is not null and key is not null").distinct(), "identities")
-    digest = F.sha2(F.concat_ws(":", "kind", "key"), 256)
-    texts = rows.select(digest.alias("text_id"), F.when(F.col("side") == "development", "a").otherwise("b").alias("side"), digest.alias("text")).distinct()
-    same = cross_split_matches(texts, k=16, w=49, least=1.0).where("coverage_a = 1.0 and coverage_b = 1.0").select(F.col("id_a").alias("text_id"), F.col("coverage_b").alias("coverage"))
-    return rows.withColumn("text_id", digest), same
+def shared_identities(rows: DataFrame) -> DataFrame:
+    """(id_a, id_b, n_shared, coverage): texts of development (a) and of external isolates (b) that share a passage of a whole identity. Whether the
+    passage is one is checked on the identities themselves."""
+    texts = rows.select("text_id", F.when(F.col("side") == "development", "a").otherwise("b").alias("side"), "text").distinct()
+    # one identity in three is less than a third of the fingerprints at worst: any shared one is followed
+    met = cross_split_matches(texts, k=16, w=17, least=0.0, share=1e-9).where("common >= 65")
+    of = lambda s, name: rows.select(F.col("text_id").alias(f"id_{s}"), F.col("keys").alias(name)).distinct()
+    both = met.join(of("a", "ka"), "id_a").join(of("b", "kb"), "id_b").withColumn("n_shared", F.size(F.array_intersect("ka", "kb")))
+    return both.where("n_shared > 0").select("id_a", "id_b", "n_shared", F.greatest("coverage_a", "coverage_b").alias("coverage"))
 
 
 @registry.query("p6_found", f"""
@@ -117,15 +134,46 @@ k as (select distinct isolate_id, side, 'D' || dg k from meta where dg is not nu
 select distinct least(x.isolate_id, y.isolate_id) isolate_a, greatest(x.isolate_id, y.isolate_id) isolate_b
 from k x join k y using (k) where x.side = 'development' and y.side = 'external' and x.isolate_id <> y.isolate_id""")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, same = shared_identities(spark, sf_dir)
-    held = rows.join(same, "text_id").select("text_id", "isolate_id", "side").distinct()
-    pairs = held.where("side = 'development'").select("text_id", F.col("isolate_id").alias("d")).join(held.where("side = 'external'").select("text_id", F.col("isolate_id").alias("e")), "text_id").where("d <> e")
-    return pairs.select(F.least("d", "e").alias("isolate_a"), F.greatest("d", "e").alias("isolate_b")).distinct()
+    rows = identity_texts(spark, sf_dir)
+    same = shared_identities(rows)
+    of = lambda side, s: rows.where(F.col("side") == side).select(F.col("text_id").alias(f"id_{s}"), F.col("isolate_id").alias(s)).distinct()
+    pairs = same.join(of("development", "a"), "id_a").join(of("external", "b"), "id_b").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("isolate_a"), F.greatest("a", "b").alias("isolate_b")).distinct()
 
 
 @registry.query("p6_report")
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By split and network: isolates, isolates that share an identity with the other split, and the mean coverage of their identity texts."""
-    rows, same = shared_identities(spark, sf_dir)
-    per = rows.join(same, "text_id", "left").groupBy("side", "surveillance_network", "isolate_id").agg(F.countDistinct("text_id").alias("n"), F.countDistinct(F.when(F.col("coverage").isNotNull(), F.col("text_id"))).alias("m"))
-    return per.groupBy(F.col("side").alias("evaluation_split"), "surveillance_network").agg(F.count("*").alias("n_isolates"), F.count(F.when(F.col("m") > 0, 1)).alias("n_overlapping"), F.round(F.avg(F.col("m") / F.col("n")), 6).alias("coverage"))
+    rows = identity_texts(spark, sf_dir)
+    same, _ = materialise(shared_identities(rows), "shared")
+    best = same.select(F.col("id_a").alias("text_id"), F.lit("development").alias("side"), "coverage").unionByName(same.select(F.col("id_b").alias("text_id"), F.lit("external").alias("side"), "coverage"))
+    best = best.groupBy("text_id", "side").agg(F.max("coverage").alias("coverage"))
+    per = rows.join(best, ["text_id", "side"], "left").groupBy("side", "surveillance_network", "isolate_id").agg(F.max(F.coalesce("coverage", F.lit(0.0))).alias("coverage"))
+    return per.groupBy(F.col("side").alias("evaluation_split"), "surveillance_network").agg(F.count("*").alias("n_isolates"), F.count(F.when(F.col("coverage") > 0, 1)).alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("coverage"))
+
+
+def documents_of_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, side, text_id, text) of the documents of isolates of one split; a document's text is its class."""
+    meta = table(spark, sf_dir, "isolate_metadata").select("isolate_id", split_key().alias("side")).where("isolate_id is not null and side is not null")
+    one = meta.groupBy("isolate_id").agg(F.min("side").alias("side"), F.max("side").alias("other")).where("side = other").select("isolate_id", "side")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "isolate_id", "text").where("text is not null and trim(text) <> '' and doc_id is not null")
+    return docs.join(one, "isolate_id").select("doc_id", "source", F.when(F.col("side") == "development", "a").otherwise("b").alias("side"), F.sha2("text", 256).alias("text_id"), "text").distinct()
+
+
+@registry.query("p6_documents")
+def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document of an isolate of either split whose text is, exactly or nearly, in the other split: its class (the least document
+    of the same text and split), the number of the other split's texts that it meets, and its greatest coverage by one of them."""
+    docs, _ = materialise(documents_of_splits(spark, sf_dir), "documents")
+    met, _ = materialise(cross_split_matches(docs.select("text_id", "side", "text").distinct()), "met")
+    links = met.select(F.col("id_a").alias("text_id"), F.lit("a").alias("side"), F.col("coverage_a").alias("coverage")).unionByName(met.select(F.col("id_b").alias("text_id"), F.lit("b").alias("side"), F.col("coverage_b").alias("coverage")))
+    links = links.groupBy("text_id", "side").agg(F.count("*").alias("n_links"), F.round(F.max("coverage"), 6).alias("coverage"))
+    classes = docs.groupBy("text_id", "side").agg(F.min("doc_id").alias("class_id"))
+    split = F.when(F.col("side") == "a", "development").otherwise("external")
+    return docs.join(links, ["text_id", "side"]).join(classes, ["text_id", "side"]).select("doc_id", "class_id", split.alias("evaluation_split"), "source", "n_links", "coverage").distinct()
+
+
+@registry.query("p6_by_source")
+def p6_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By split and source: documents that are in the other split too, and their mean coverage."""
+    return p6_documents(spark, sf_dir).groupBy("evaluation_split", "source").agg(F.countDistinct("doc_id").alias("n_documents"), F.countDistinct("class_id").alias("n_texts"), F.round(F.avg("coverage"), 6).alias("coverage"))

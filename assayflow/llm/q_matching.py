@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayflow.llm.matching import one_to_one, propagate
 from assayflow.llm.reference import Tree, fold, map_to_reference
-from assayflow.operators.timestamps import normalise_timestamps
+from assayflow.operators.timestamps import known_zones, normalise_timestamps
 from assayflow.plans.common import Registry, table
 from assayflow.text import is_placeholder
 from assayflow.workspace import materialise
@@ -81,8 +81,7 @@ def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of ast in comparable form, with the local date at their site; the sample's accession is that of its isolate."""
     sites = table(spark, sf_dir, "submitting_sites").dropDuplicates(["site"])
     raw = table(spark, sf_dir, "ast").where("id is not null").dropDuplicates(["id"]).select("id", "isolate", "biosample", "antibiotic", "resistance_phenotype", "mic_mg_l", "measurement_sign", "laboratory_typing_method", "laboratory_typing_platform", "testing_date", "site")
-    zones = [r[0] for r in sites.select("time_zone").where("time_zone is not null").distinct().limit(1000).collect()]
-    raw = normalise_timestamps(raw.join(sites.select("site", "time_zone", "date_order"), "site", "left"), "testing_date", "time_zone", "date_order", "on", zones)
+    raw = normalise_timestamps(raw.join(sites.select("site", "time_zone", "date_order"), "site", "left"), "testing_date", "time_zone", "date_order", "on", known_zones(sites, "time_zone"))
     instant = F.try_to_timestamp("on")
     wall = F.date_from_unix_date(F.floor(F.unix_seconds(F.when(F.col("time_zone").isNotNull(), F.from_utc_timestamp(instant, F.col("time_zone"))).otherwise(instant)) / 86400).cast("int"))
     day = F.when(F.length("on") == 10, F.to_date(F.when(F.length("on") == 10, F.col("on")))).when(F.length("on") > 10, wall)

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.text import PLACEHOLDERS
+from assayflow.workspace import ship_package
 
 SHARD = 20000  # reference entries in one tree
+REMEMBERED = 100000  # searches a tree remembers before it forgets all
 # Words before or after a name that belong to its long form, and short forms of words in names.
 FORMS = ("republic of", "kingdom of", "state of", "commonwealth of", "federation of", "union of", "the")
 SHORT = {"n": "north", "s": "south", "e": "east", "w": "west", "st": "saint", "rep": "republic", "is": "islands", "mt": "mount", "fed": "federated", "dem": "democratic", "unit": "united", "prov": "provinces"}
@@ -47,13 +49,14 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 class Tree:
-    """BK-tree over folded names."""
+    """BK-tree over folded names. Distances to entries are remembered, for the same words come again in many texts."""
 
     def __init__(self, names: list[str]) -> None:
         self.exact: dict[str, list[str]] = {}
         for n in names:
             self.exact.setdefault(fold(n), []).append(n)
         self.nodes: list[tuple[str, dict[int, int]]] = []
+        self.found: dict[tuple[str, int], list[tuple[int, str]]] = {}
         for key in sorted(self.exact):
             if not self.nodes:
                 self.nodes.append((key, {}))
@@ -75,6 +78,8 @@ class Tree:
 
     def within(self, key: str, most: int) -> list[tuple[int, str]]:
         """(distance, name) of every entry within most of the key: subtrees that the triangle inequality rules out are left out."""
+        if (key, most) in self.found:
+            return self.found[key, most]
         found, todo = [], [0] if self.nodes else []
         while todo:
             word, children = self.nodes[todo.pop()]
@@ -82,7 +87,10 @@ class Tree:
             if d <= most:
                 found += [(d, n) for n in self.exact[word]]
             todo += [c for k, c in children.items() if d - most <= k <= d + most]
-        return sorted(found)
+        if len(self.found) >= REMEMBERED:
+            self.found.clear()
+        self.found[key, most] = sorted(found)
+        return self.found[key, most]
 
 
 def repaired(text: str) -> str:
@@ -199,6 +207,7 @@ def map_to_reference(df: DataFrame, text: str, reference: DataFrame, name: str,
     entries don't matter; an empty list maps nothing.
     """
     spark = df.sparkSession
+    ship_package(spark)
     # few bytes but much work each: spread them, or adaptive execution would join them into one task
     texts = df.select(F.col(f"`{text}`").alias("t")).where("t is not null").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "t")
     names = sorted({r[0] for r in reference.select(name).where(F.col(name).isNotNull()).toLocalIterator()})

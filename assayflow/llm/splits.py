@@ -62,12 +62,13 @@ def spanning_forest(links: DataFrame, a: str, b: str, weight: str) -> tuple[Data
     return nodes, forest
 
 
-def related_units(df: DataFrame, record: str, groups: dict[str, "F.Column"]) -> tuple[DataFrame, DataFrame]:
+def related_units(df: DataFrame, record: str, groups: dict[str, "F.Column"], keep: str | None = None) -> tuple[DataFrame, DataFrame]:
     """((record, unit), forest): records that share a group, directly or through others, on any of their rows.
 
     groups: the keys of df's groups by kind, null where a row names none. A unit's name is its least record. Records
     without a group are units of their own; rows with a null record belong to none. The links of the forest are those of
-    records (R), through groups by kind; a link weighs the records of its group, so small groups tie first.
+    records (R), through groups by kind; a link weighs the records of its group, so small groups tie first. keep: a path under which the
+    forest is written as a table that outlasts the job (an existing one is refused).
     """
     row = df.select(F.col(f"`{record}`").alias("r"), *[k.alias(f"g{i}") for i, k in enumerate(groups.values())]).where("r is not null")
     keys = F.array_compact(F.array(*[F.when(F.col(f"g{i}").isNotNull(), F.concat(F.lit(f"{kind}:"), F.col(f"g{i}"))) for i, kind in enumerate(groups)]))
@@ -75,30 +76,53 @@ def related_units(df: DataFrame, record: str, groups: dict[str, "F.Column"]) ->
     size = row.where("g is not null").groupBy("g").agg(F.count("*").alias("w"))
     links = row.join(size, "g").where("w > 1").select(F.concat(F.lit("R:"), "r").alias("a"), F.col("g").alias("b"), "w")
     nodes, forest = spanning_forest(links, "a", "b", "w")
+    if keep is not None:
+        forest.write.parquet(keep)
+        forest = forest.sparkSession.read.parquet(keep)
     of = nodes.where(F.col("node").startswith("R:")).select(F.substring("node", 3, 1 << 30).alias("r"), "root")
     name = of.groupBy("root").agg(F.min("r").alias("unit"))
     linked = of.join(name, "root").select("r", "unit")
     return row.select("r").distinct().join(linked, "r", "left").select(F.col("r").alias(record), F.coalesce("unit", "r").alias("unit")), forest
 
 
+def quotas(bands: Sequence[tuple[int, int, int]], splits: Sequence[tuple[str, float]]) -> dict[int, list[int]]:
+    """Units of each band for each split, of bands (band, units, records): the largest first, and what a split got too little or too much of
+    the records so far is carried to the next band. Of parts of units the largest wants go first."""
+    total = sum(p for _, p in splits)
+    shares = [p / total for _, p in splits]
+    held, seen, out = [0.0] * len(shares), 0, {}
+    for band, n, records in sorted(bands, reverse=True):
+        seen += records
+        mean = records / n
+        wants = [max(0.0, (p * seen - h) / mean) for p, h in zip(shares, held, strict=True)]
+        scale = n / (sum(wants) or 1)
+        wants = [x * scale for x in wants]
+        given = [int(x) for x in wants]
+        for k in sorted(range(len(wants)), key=lambda k: (given[k] - wants[k], k))[: n - sum(given)]:
+            given[k] += 1
+        held = [h + g * mean for h, g in zip(held, given, strict=True)]
+        out[band] = given
+    return out
+
+
 def deal(units: DataFrame, unit: str, size: str, splits: Sequence[tuple[str, float]], seed: int = 1, buckets: int = 4096) -> DataFrame:
-    """units with a column split: in each band of sizes (powers of two) the units, in the order of a seeded hash, are
-    dealt at even steps, so that each band meets the proportions to within one unit.
+    """units with a column split: in each band of sizes (powers of two) the units are dealt in the order of a seeded hash, as many to each
+    split as quotas() gives. Each split has its proportion of the records to within about the largest unit, however few units are large.
 
-    A unit's place is its rank in a hash bucket plus the sizes of the buckets before it: no band is sorted in one task.
-    Equal units (repeats) get the same split; a column split is replaced. An empty table gives an empty one.
+    A unit's place is its rank in a hash bucket plus the sizes of the buckets before it: no band is sorted in one task. The driver gets
+    one row for each band, 64 at most. Equal units (repeats) get the same split; a column split is replaced; sizes under one or null count
+    as one. An empty table gives an empty one.
     """
-    total = sum(p for _, p in splits)
-    u = units.select(F.col(f"`{unit}`").alias("unit"), F.floor(F.log2(F.col(f"`{size}`").cast("double"))).cast("int").alias("band")).distinct()
+    weight = F.greatest(F.coalesce(F.col(f"`{size}`").cast("double"), F.lit(1.0)), F.lit(1.0))
+    u = units.select(F.col(f"`{unit}`").alias("unit"), weight.alias("w")).groupBy("unit").agg(F.max("w").alias("w")).withColumn("band", F.floor(F.log2("w")).cast("int"))
     u = u.withColumn("h", F.xxhash64(F.lit(seed), "unit")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    counts = u.groupBy("band", "bucket").agg(F.count("*").alias("n"))
-    starts = counts.select("band", "bucket", (F.sum("n").over(Window.partitionBy("band").orderBy("bucket")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy("band")).alias("of"))
+    counts = u.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("w").alias("records"))
+    given = quotas([tuple(r) for r in counts.groupBy("band").agg(F.sum("n"), F.sum("records")).collect()], splits)
+    starts = counts.select("band", "bucket", (F.sum("n").over(Window.partitionBy("band").orderBy("bucket")) - F.col("n")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("band", "bucket").orderBy("h", "unit"))
     placed = u.withColumn("rank", rank).join(F.broadcast(starts), ["band", "bucket"])  # 64 bands of 4096 buckets at most
-    shift = F.pmod(F.xxhash64(F.lit(seed), "band"), F.col("of"))
-    at = (F.pmod(F.col("start") + F.col("rank") - 1 + shift, F.col("of")) + 0.5) / F.col("of")
-    names, edge = None, 0.0
-    for name, part in splits:
-        edge += part / total
-        names = F.when(at < edge, name) if names is None else names.when(at < edge, name)
-    return units.drop("split").join(placed.select(F.col("unit").alias(unit), names.otherwise(splits[-1][0]).alias("split")), unit)
+    at = F.col("start") + F.col("rank")
+    edges = [(band, name, sum(g[: k + 1])) for band, g in sorted(given.items()) for k, (name, _) in enumerate(splits)]
+    names = F.coalesce(*[F.when((F.col("band") == band) & (at <= edge), F.lit(name)) for band, name, edge in edges], F.lit(splits[-1][0]))
+    dealt = placed.select(F.col("unit").alias("__unit"), names.alias("split"))
+    return units.drop("split").join(dealt, F.col(f"`{unit}`").eqNullSafe(F.col("__unit"))).drop("__unit")

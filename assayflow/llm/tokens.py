@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayflow.workspace import ship_package
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 16384, 1024
 _encoders: dict[int, object] = {}
@@ -61,6 +63,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, path: str | None = None,
     as if in one go; those over chunk characters in pieces of about that length. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     kept = spark.sparkContext.broadcast(vocabulary(path))  # some 800 kB
     kind = docs.schema[key].dataType.simpleString()
     d = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))

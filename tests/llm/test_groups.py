@@ -84,6 +84,23 @@ def test_deal_meets_the_proportions_of_each_band(spark):
     assert deal(spark.createDataFrame([], "u string, n long"), "u", "n", (("train", 1.0),)).count() == 0
 
 
+def test_lone_large_units_go_to_all_splits(spark):
+    """Bands of one unit: the offset is carried over, so the records keep their proportions to within the largest unit."""
+    sizes = [900, 430, 300, 140, 130, 70, 40, 36, 20, 17, 9, 8, 5, *[1] * 700]
+    rows = [(f"u{i:04}", n, "old") for i, n in enumerate(sizes)] + [(None, 3, "old"), ("u0003", 140, "old")]
+    got = deal(spark.createDataFrame(rows, "u string, n long, split string"), "u", "n", (("train", 0.8), ("validation", 0.1), ("test", 0.1))).collect()
+    assert len(got) == len(rows) and len({x.split for x in got if x.u == "u0003"}) == 1
+    held = {s: sum(n for _, n, split in {tuple(x) for x in got} if split == s) for s in ("train", "validation", "test")}
+    assert all(abs(held[s] - p * sum(held.values())) <= 40 for s, p in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+    assert {x.split for x in got if x.n >= 36} == {"train", "validation", "test"}
+
+
+def test_forest_outlasts_the_job(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "r string, g string")
+    _, forest = related_units(df, "r", {"g": F.col("g")}, keep=f"{tmp_path}/forest")
+    assert spark.read.parquet(f"{tmp_path}/forest").count() == forest.count() == 2
+
+
 def test_winnowing_finds_every_common_run():
     r = random.Random(3)
     for _ in range(50):
@@ -93,6 +110,58 @@ def test_winnowing_finds_every_common_run():
     assert winnow("", 4, 3) == [] and len(winnow("ab", 4, 3)) == 1
 
 
+def test_pairs_against_brute_force(spark):
+    """Prefixes by rarity lose no pair: all pairs of texts are compared by the definition. Phrases that all texts hold are among them."""
+    from assayflow.llm.overlap import aligned
+
+    r = random.Random(12)
+    phrase = "the strain was read twice and differed by one dilution from the earlier value. "
+    body = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    bases = [body(240) for _ in range(6)]
+    texts = []
+    for i in range(48):
+        t = bases[i % 6]
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(t))
+            t = t[:at] + r.choice(["", "x", body(30)]) + t[at + 1 :]
+        texts.append((f"t{i}", "ab"[i % 2 if i % 7 else 0], t[: r.choice([240, 200, 90])] + (phrase if i % 5 else "")))
+    texts += [("p", "a", phrase), ("q", "b", phrase), ("x", "a", "x" * 9000), ("y", "b", "x" * 9000 + "y"), ("z", "b", "short")]
+    want = {}
+    for ia, sa, a in texts:
+        for ib, sb, b in texts:
+            if sa == "a" and sb == "b":
+                ha, hb = {h for _, h in winnow(a, 16, 17)}, {h for _, h in winnow(b, 16, 17)}
+                n = len(ha & hb)
+                m = aligned(a, b, 16, 17)
+                if n and (n >= 0.8 * len(ha) or n >= 0.8 * len(hb)) and max(m / len(a), m / len(b)) >= 0.8:
+                    want[ia, ib] = m
+    df = spark.createDataFrame(texts, "text_id string, side string, text string")
+    got = {(x.id_a, x.id_b): x.common for x in cross_split_matches(df).collect()}
+    assert got == want and len(want) > 20 and ("p", "q") in want and ("x", "y") in want
+    # an equi-join of the texts, or of their digests, gives other rows
+    assert set(want) != {(a[0], b[0]) for a in texts for b in texts if a[1] == "a" and b[1] == "b" and a[2] == b[2]}
+
+
+def test_shared_identities_need_the_fingerprints(spark, tmp_path):
+    """Isolates that share one of three identities: their record texts differ, so joining equal texts gives nothing."""
+    from assayflow.llm.q_groups import identity_texts, p6_documents, p6_found, p6_report
+
+    rows = [("d1", "Development ", "D-01", "c1", "aa" * 32, "n"), ("d2", "development", "D2", "c2", "bb" * 32, "n"), ("d3", "development", None, "unknown", None, "n"), ("e1", "external", "d 1", "c9", "cc" * 32, None), ("e2", "EXTERNAL", "D7", "C-02", "dd" * 32, "m"), ("e3", "external", "D8", "c10", ("BB" * 32), "m"), ("e4", "external", "D11", "c11", "ee" * 32, "m"), ("e5", None, "D1", "c1", None, "m"), ("d1", "external", "D-01", None, None, "n")]
+    spark.createDataFrame(rows, "isolate_id string, evaluation_split string, deduplication_group string, genomic_cluster string, genome_sha256 string, surveillance_network string").write.parquet(f"{tmp_path}/isolate_metadata.parquet")
+    found = {(x.isolate_a, x.isolate_b) for x in p6_found(spark, str(tmp_path)).collect()}
+    assert found == {("d1", "e1"), ("d2", "e2"), ("d2", "e3")}
+    texts = identity_texts(spark, str(tmp_path))
+    sides = [{x.text for x in texts.where(F.col("side") == s).collect()} for s in ("development", "external")]
+    assert not sides[0] & sides[1]
+    report = {(x.evaluation_split, x.surveillance_network): (x.n_isolates, x.n_overlapping) for x in p6_report(spark, str(tmp_path)).collect()}
+    assert report == {("development", "n"): (2, 2), ("external", None): (1, 1), ("external", "m"): (3, 2), ("external", "n"): (1, 1)}
+    text = "The reader of plate 17 wrote down two values for the same well and kept them both until the run of May was repeated. "
+    docs = [(1, text, "s", "d2"), (2, text, "s", "d2"), (3, text.replace("May", "June"), "q", "e2"), (4, "other words " * 20, "q", "e2"), (5, None, "q", "e2"), (6, text, "s", None), (7, text, "s", "d1")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, isolate_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.class_id, x.evaluation_split, x.n_links) for x in p6_documents(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, "development", 1), 2: (1, "development", 1), 3: (3, "external", 1)}
+
+
 def test_cross_split_matches(spark):
     base = "the strain was read twice and differed by one dilution from the earlier value in every well of the plate"
     other = "unrelated words fill this text up to a similar length so that nothing of it is shared with any base at all"

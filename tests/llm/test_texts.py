@@ -59,6 +59,15 @@ def test_leaks(spark):
     assert leaked_items(d, "doc_id", "text", i.limit(0), "item", "body").count() == 0
 
 
+def test_short_items_leak_too(spark):
+    """Items of a few words, against a search of the words themselves, in a corpus of few documents."""
+    items = [(1, "zorvic pelmon trask"), (2, "quill harbax venno dril"), (3, "mossel tarn quib loden frask wend"), (4, "two words")]
+    noise = "the strain was read again before the plates were moved "
+    docs = [(k, noise + t.upper() + ", " + noise) for k, (_, t) in enumerate(items)] + [(10, noise * 5), (11, "zorvic then pelmon then trask " + noise)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item long, body string")
+    assert {(x.doc_id, x.item) for x in leaked_items(d, "doc_id", "text", i, "item", "body").collect()} == {(0, 1), (1, 2), (2, 3)}
+
+
 def test_distance_is_a_metric():
     r = random.Random(4)
     ws = ["".join(r.choice("abc") for _ in range(r.randrange(7))) for _ in range(25)]
