@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayflow.plans import measures, tables, timestamps
+from assayflow.plans import measures, tables, timestamps, typing
 
-REGISTRIES = [measures.registry, tables.registry, timestamps.registry]
+REGISTRIES = [measures.registry, tables.registry, timestamps.registry, typing.registry]
 
 
 def queries() -> dict:
