@@ -6,6 +6,7 @@ entry within a threshold. Reference lists are taken in shards; each shard's tree
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.text import PLACEHOLDERS
-from assayflow.workspace import ship_package
+from assayflow.workspace import materialise, ship_package
 
 SHARD = 20000  # reference entries in one tree
 REMEMBERED = 100000  # searches a tree remembers before it forgets all
@@ -210,19 +211,42 @@ def map_to_reference(df: DataFrame, text: str, reference: DataFrame, name: str,
     ship_package(spark)
     # few bytes but much work each: spread them, or adaptive execution would join them into one task
     texts = df.select(F.col(f"`{text}`").alias("t")).where("t is not null").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "t")
-    names = sorted({r[0] for r in reference.select(name).where(F.col(name).isNotNull()).toLocalIterator()})
-    found = None
-    for at in range(0, max(1, len(names)), SHARD):
-        tree = spark.sparkContext.broadcast(Tree(names[at : at + SHARD]))
-
-        def run(batches: Iterator[pd.DataFrame], kept=tree) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+    found, shards = None, 0
+    for names in _shards(reference.select(F.col(f"`{name}`").alias("n")).where("n is not null").distinct().orderBy("n")):
+        kept = spark.sparkContext.broadcast(names)
+        if shards == 1:  # a second shard reads the texts again: they are written once
+            texts, _ = materialise(texts, "texts")
+        shards += 1
+
+        def run(batches: Iterator[pd.DataFrame], kept=kept) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            tree = _tree(kept.value)
             for b in batches:
-                hits = [reader(kept.value, t) for t in b["t"]]
+                hits = [reader(tree, t) for t in b["t"]]
                 yield pd.DataFrame({"t": b["t"], "rank": [h[0] if h else 9 for h in hits], "d": [h[1] if h else 99 for h in hits], "n": [h[2] if h else None for h in hits]})
 
         part = texts.mapInPandas(run, "t string, rank int, d int, n string")
         found = part if found is None else found.unionByName(part)
-    if len(names) > SHARD:  # winners of the shards: the best rank, then the least distance, unless two names tie
+    if shards > 1:  # winners of the shards: the best rank, then the least distance, unless two names tie
         low = found.groupBy("t").agg(F.min(F.struct("rank", "d")).alias("low"))
         found = found.join(low, "t").where((F.col("rank") == F.col("low.rank")) & (F.col("d") == F.col("low.d"))).groupBy("t").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("t", F.when(F.col("a") == F.col("b"), F.col("a")).alias("n"))
     return found.select(F.col("t").alias(text), F.col("n").alias(into))
+
+
+def _shards(names: DataFrame) -> Iterator[tuple[str, ...]]:
+    """The names in runs of SHARD, one at a time; an empty list is one empty run."""
+    held: list[str] = []
+    some = False
+    for r in names.toLocalIterator():
+        held.append(r[0])
+        if len(held) == SHARD:
+            some = True
+            yield tuple(held)
+            held = []
+    if held or not some:
+        yield tuple(held)
+
+
+@functools.lru_cache(maxsize=4)
+def _tree(names: tuple[str, ...]) -> Tree:
+    """One tree for each Python worker and shard, built where it is used."""
+    return Tree(list(names))

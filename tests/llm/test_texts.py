@@ -100,6 +100,20 @@ def test_places(spark):
     assert map_to_reference(df, "place", ref.limit(0), "name").where("name is not null").count() == 0
 
 
+def test_places_in_several_shards(spark, monkeypatch):
+    """A list in shards gives what it gives in one tree: winners merge, and ties between shards stay unmatched."""
+    from assayflow.llm import reference
+
+    r = random.Random(9)
+    names = sorted({"".join(r.choice("abcdelnorst") for _ in range(r.randrange(8, 13))).title() for _ in range(90)} | {"Tarsolen", "Tarsolan"})
+    texts = [n.lower() for n in names[::3]] + [n[:-1] + "x" for n in names[1::3]] + ["Tarsolin", "Tarsolen: Kuopa", "nothing of it", "", None]
+    df, ref = spark.createDataFrame([(t,) for t in texts], "place string"), spark.createDataFrame([(n,) for n in [*names, None]], "name string")
+    one = {x.place: x.name for x in map_to_reference(df, "place", ref, "name").collect()}
+    monkeypatch.setattr(reference, "SHARD", 20)
+    assert {x.place: x.name for x in map_to_reference(df, "place", ref, "name").collect()} == one
+    assert one["Tarsolin"] is None and sum(v is not None for v in one.values()) > 50
+
+
 SAMPLES = {
     "en": ["The plate was read twice because the sign was missing.", "Nobody in the laboratory noticed the warning until last year.", "We kept both values for the sample and reopened the entry.", "The incubator was replaced before the trays were moved."],
     "de": ["Die Platte wurde zweimal gelesen, weil das Vorzeichen fehlte.", "Niemand im Labor bemerkte die Warnung bis zum letzten Jahr.", "Wir behielten beide Werte der Probe und öffneten den Eintrag wieder.", "Der Brutschrank wurde ersetzt, bevor die Schalen weggebracht wurden."],
