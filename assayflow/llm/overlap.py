@@ -156,12 +156,13 @@ def aligned(a: str, b: str, k: int, w: int) -> int:
     return got
 
 
-def cross_split_matches(texts: DataFrame, k: int = 16, w: int = 17, least: float = 0.8, share: float = 0.8) -> DataFrame:
+def cross_split_matches(texts: DataFrame, k: int = 16, w: int = 17, least: float = 0.8, share: float | None = 0.8) -> DataFrame:
     """(id_a, id_b, common, coverage_a, coverage_b) of texts(text_id, side, text) with sides 'a' and 'b': the characters in runs common to
     both, and their shares of the texts.
 
     A pair is one that has at least the given share of one text's different fingerprints in the other, and at least the given coverage
-    (least) of one of the texts. Give distinct texts: copies belong to one text_id. Null and empty texts match nothing.
+    (least) of one of the texts; a share of None asks for any fingerprint in common. Give distinct texts: copies belong to one text_id.
+    Null and empty texts match nothing.
     A pair is found from the text whose fingerprints the other one holds: among n of them, ceil(share n) in common leave
     n - ceil(share n) that the other may lack, so one of the n - ceil(share n) + 1 rarest is shared. No fingerprint is left out; one
     that very many texts hold is among the rarest of those only that have hardly any other.
@@ -170,14 +171,22 @@ def cross_split_matches(texts: DataFrame, k: int = 16, w: int = 17, least: float
     fp, _ = materialise(fingerprints(texts, k, w), "fingerprints")
     held = fp.groupBy("fp").agg(F.count(F.when(F.col("side") == "a", 1)).alias("na"), F.count(F.when(F.col("side") == "b", 1)).alias("nb")).where("na > 0 and nb > 0")
     n = fp.groupBy("text_id", "side").agg(F.count("*").alias("n"))
+    of = lambda d, s, name: d.where(F.col("side") == s).select("fp", F.col("text_id").alias(name))
+    all_ = fp.join(held.select("fp"), "fp", "left_semi")
+    if share is None:
+        pairs = of(all_, "a", "id_a").join(of(all_, "b", "id_b"), "fp").select("id_a", "id_b").distinct()
+        return _verified(texts, pairs, k, w, least, 0.0)
     # fingerprints of one side only are the rarest of all: they take the first places of a text's order without being looked at again
     shared = fp.join(held, "fp").select("text_id", "side", F.struct((F.col("na") + F.col("nb")).alias("texts"), "fp").alias("f"))
     kept, _ = materialise(shared.join(n, ["text_id", "side"]).groupBy("text_id", "side", "n").agg(F.array_sort(F.collect_list("f")).alias("fs")).where(F.size("fs") >= F.ceil(share * F.col("n"))), "texts")
     prefix = F.slice("fs", 1, (F.size("fs") - F.ceil(share * F.col("n")) + 1).cast("int"))
     head = kept.select("text_id", "side", F.explode(prefix).alias("f")).select("text_id", "side", "f.fp")
-    of = lambda d, s, name: d.where(F.col("side") == s).select("fp", F.col("text_id").alias(name))
-    all_ = fp.join(held.select("fp"), "fp", "left_semi")
     pairs = of(head, "a", "id_a").join(of(all_, "b", "id_b"), "fp").select("id_a", "id_b").unionByName(of(all_, "a", "id_a").join(of(head, "b", "id_b"), "fp").select("id_a", "id_b")).distinct()
+    return _verified(texts, pairs, k, w, least, share)
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, k: int, w: int, least: float, share: float) -> DataFrame:
+    """Pairs that hold by the definition, from their whole texts."""
     pairs, _ = materialise(pairs, "pairs")
     side = lambda s: texts.where(F.col("side") == s).select(F.col("text_id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
     full = pairs.join(side("a"), "id_a").join(side("b"), "id_b")

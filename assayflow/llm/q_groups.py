@@ -122,7 +122,7 @@ def shared_identities(rows: DataFrame) -> DataFrame:
     passage is one is checked on the identities themselves."""
     texts = rows.select("text_id", F.when(F.col("side") == "development", "a").otherwise("b").alias("side"), "text").distinct()
     # one identity in three is less than a third of the fingerprints at worst: any shared one is followed
-    met = cross_split_matches(texts, k=16, w=17, least=0.0, share=1e-9).where("common >= 65")
+    met = cross_split_matches(texts, k=16, w=17, least=0.0, share=None).where("common >= 65")
     of = lambda s, name: rows.select(F.col("text_id").alias(f"id_{s}"), F.col("keys").alias(name)).distinct()
     both = met.join(of("a", "ka"), "id_a").join(of("b", "kb"), "id_b").withColumn("n_shared", F.size(F.array_intersect("ka", "kb")))
     return both.where("n_shared > 0").select("id_a", "id_b", "n_shared", F.greatest("coverage_a", "coverage_b").alias("coverage"))
