@@ -75,8 +75,8 @@ def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.
     """
     spark = candidates.sparkSession
     zero = F.lit(0.0)
-    pairs, _ = materialise(candidates.select("a", "b", F.coalesce("grp", F.concat(F.lit("row "), F.col("a"))).alias("grp"), "z", F.col("s").cast("double").alias("s")), "pairs")
-    contested, _ = materialise(contested_groups(pairs), "contested")
+    pairs, ppath = materialise(candidates.select("a", "b", F.coalesce("grp", F.concat(F.lit("row "), F.col("a"))).alias("grp"), "z", F.col("s").cast("double").alias("s")), "pairs")
+    contested, cpath = materialise(contested_groups(pairs), "contested")
     calm = group_messages(pairs.join(contested.hint("merge"), "grp", "left_anti").withColumn("g", zero), F.col("s"), group_most).withColumns({"x": zero, "y": zero})
     p, path = materialise(pairs.join(contested.hint("merge"), "grp", "left_semi").withColumns({"g": zero, "x": zero, "y": zero}), "pairs")
     moved: float | None = None
@@ -97,7 +97,7 @@ def propagate(candidates: DataFrame, damping: float = 0.1, tolerance: float = 0.
             warnings.warn(f"messages of {n.where(F.col('move') >= tolerance).count()} pairs still move after {most_rounds} rounds", stacklevel=2)
     both = p.unionByName(calm.select(*p.columns))
     out, _ = materialise(both.select("a", "b", (1 / (1 + F.exp(-bounded(F.col("s") + F.col("g") + F.col("x") + F.col("y"))))).alias("probability")), "beliefs")
-    discard(spark, path)
+    discard(spark, path, ppath, cpath)
     return out
 
 

@@ -12,7 +12,7 @@ from assayflow.llm.reference import Tree, fold, map_to_reference
 from assayflow.operators.timestamps import known_zones, normalise_timestamps
 from assayflow.plans.common import Registry, table
 from assayflow.text import is_placeholder
-from assayflow.workspace import materialise
+from assayflow.workspace import discard, materialise
 
 registry = Registry()
 # Three-letter codes of antibiotics, synonyms of methods, units in mg/L.
@@ -54,8 +54,8 @@ def bin_of(v: Column) -> Column:
     return F.when(v > 0, F.round(F.log2(v)).cast("int"))
 
 
-def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Antibiogram rows in comparable form; the accession is the one of the submitted record."""
+def submitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """(rows, table that they read): antibiogram rows in comparable form; the accession is the one of the submitted record."""
     raw = table(spark, sf_dir, "ncbi_biosample_antibiograms").where("antibiogram_row_id is not null").dropDuplicates(["antibiogram_row_id"])
     raw = normalise_timestamps(raw.select("antibiogram_row_id", "biosample_accession", "antibiotic_raw", "resistance_phenotype_raw", "measurement_sign_raw", "measurement_raw", "measurement_unit_raw", "laboratory_typing_method_raw", "laboratory_typing_platform_raw", "ast_testing_date_raw", "biosample_record_xml_sha256"), "ast_testing_date_raw", into="on")
     tests = table(spark, sf_dir, "ast").select(F.lower(F.trim("antibiotic")).alias("drug")).where("drug is not null").distinct()
@@ -68,29 +68,29 @@ def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     acc = F.upper(F.regexp_replace("biosample_accession", r"[\s ]+", ""))
     acc = F.when(~is_placeholder(F.col("biosample_accession")), F.regexp_replace(F.regexp_replace(acc, r"^BIOSAMPLE:", ""), r"\.\d+$", ""))
     digits = F.regexp_extract(acc, r"(\d+(?:X\d+)?)$", 1)
-    rows, _ = materialise(raw.join(drugs, "antibiotic_raw", "left").select(
+    rows, path = materialise(raw.join(drugs, "antibiotic_raw", "left").select(
         F.col("antibiogram_row_id").alias("a"), F.col("biosample_record_xml_sha256").alias("grp"), "drug", value.alias("v"), sign.alias("sign"), F.substring(filled("resistance_phenotype_raw"), 1, 1).alias("sir"),
         lookup(filled("laboratory_typing_method_raw"), METHODS).alias("method"), filled("laboratory_typing_platform_raw").alias("platform"), F.to_date("on").alias("day"), F.when(digits != "", digits).alias("own"),
     ), "rows")
     # a record has one accession, and mostly one date: rows that lack them take the record's
     record = rows.where("grp is not null").groupBy("grp").agg(F.max(F.struct(F.length("own").alias("n"), "own"))["own"].alias("number"), F.min("day").alias("d1"), F.max("day").alias("d2"))
-    return rows.join(record.hint("merge"), "grp", "left").withColumn("number", F.coalesce("number", "own")).withColumn("day", F.coalesce("day", F.when(F.col("d1") == F.col("d2"), F.col("d1")))).drop("own", "d1", "d2")
+    return rows.join(record.hint("merge"), "grp", "left").withColumn("number", F.coalesce("number", "own")).withColumn("day", F.coalesce("day", F.when(F.col("d1") == F.col("d2"), F.col("d1")))).drop("own", "d1", "d2"), path
 
 
-def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of ast in comparable form, with the local date at their site; the sample's accession is that of its isolate."""
+def tested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """(rows, table that they read): rows of ast in comparable form, with the local date at their site; the sample's accession is that of its isolate."""
     sites = table(spark, sf_dir, "submitting_sites").dropDuplicates(["site"])
     raw = table(spark, sf_dir, "ast").where("id is not null").dropDuplicates(["id"]).select("id", "isolate", "biosample", "antibiotic", "resistance_phenotype", "mic_mg_l", "measurement_sign", "laboratory_typing_method", "laboratory_typing_platform", "testing_date", "site")
     raw = normalise_timestamps(raw.join(sites.select("site", "time_zone", "date_order"), "site", "left"), "testing_date", "time_zone", "date_order", "on", known_zones(sites, "time_zone"))
     instant = F.try_to_timestamp("on")
     wall = F.date_from_unix_date(F.floor(F.unix_seconds(F.when(F.col("time_zone").isNotNull(), F.from_utc_timestamp(instant, F.col("time_zone"))).otherwise(instant)) / 86400).cast("int"))
     day = F.when(F.length("on") == 10, F.to_date(F.when(F.length("on") == 10, F.col("on")))).when(F.length("on") > 10, wall)
-    rows, _ = materialise(raw.select(
+    rows, path = materialise(raw.select(
         F.col("id").alias("b"), F.coalesce("isolate", "biosample", "id").alias("z"), F.lower(F.trim("antibiotic")).alias("drug"), F.col("mic_mg_l").try_cast("double").alias("v"), lookup(F.regexp_replace("measurement_sign", r"\s+", ""), SIGNS).alias("sign"), F.substring(filled("resistance_phenotype"), 1, 1).alias("sir"),
         lookup(filled("laboratory_typing_method"), METHODS).alias("method"), filled("laboratory_typing_platform").alias("platform"), day.alias("day"), F.regexp_extract("biosample", r"(\d+)(?:\.\d+)?$", 1).alias("own"),
     ), "rows")
     sample = rows.where("own <> ''").groupBy("z").agg(F.min("own").alias("number"))
-    return rows.drop("own").join(sample.hint("merge"), "z", "left")
+    return rows.drop("own").join(sample.hint("merge"), "z", "left"), path
 
 
 def agree(c: str) -> Column:
@@ -140,16 +140,20 @@ def scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, probability) of all candidate pairs after belief propagation."""
-    a, _ = materialise(submitted(spark, sf_dir), "submitted")
-    b, _ = materialise(tested(spark, sf_dir), "tested")
-    first, _ = materialise(scored(first_pairs(a, b), a, b).where("s > -9"), "candidates")
+    a, apath = materialise((read := submitted(spark, sf_dir))[0], "submitted")
+    discard(spark, read[1])
+    b, bpath = materialise((read := tested(spark, sf_dir))[0], "tested")
+    discard(spark, read[1])
+    first, fpath = materialise(scored(first_pairs(a, b), a, b).where("s > -9"), "candidates")
     # of a record only samples whose pairs together come near the best of its samples stay; there, weaker pairs join in
     best = first.groupBy("grp", "z", "a").agg(F.max("s").alias("s")).groupBy("grp", "z").agg(F.sum(F.log1p(F.exp("s"))).alias("v"))
     top = best.where("grp is not null").groupBy("grp").agg(F.max("v").alias("top"))
-    kept, _ = materialise(best.join(top.hint("merge"), "grp").where(F.col("v") >= F.col("top") - BEYOND).select("grp", "z"), "kept")
+    kept, kpath = materialise(best.join(top.hint("merge"), "grp").where(F.col("v") >= F.col("top") - BEYOND).select("grp", "z"), "kept")
     near = first.join(kept.hint("merge"), ["grp", "z"], "left_semi").select("a", "b")
     pairs = near.unionByName(pairs_within(a, b, kept)).distinct()
-    return propagate(scored(pairs, a, b).unionByName(first.where("grp is null")).where("s > -9"))
+    out = propagate(scored(pairs, a, b).unionByName(first.where("grp is null")).where("s > -9"))
+    discard(spark, apath, bpath, fpath, kpath)
+    return out
 
 
 @registry.query("p7_found")
