@@ -59,3 +59,13 @@ def leave_source_out(a: DataFrame, b: DataFrame, on: Sequence[str], keys: Sequen
     t = g.groupBy(*keys).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     j = g.join(t, list(keys)).where(F.col(source).isNotNull()).withColumn("share", F.col("n") / F.col("tn")).where(F.col("share") >= least)
     return j.select(*keys, source, F.round("share", 6).alias("share"), F.round(F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n")), 6).alias("difference"))
+
+
+def leave_source_out_intervals(a: DataFrame, b: DataFrame, on: Sequence[str], keys: Sequence[str], source: str, group: str, measure: str, least: float = 0.1, draws: int = 2000, seed: int = 20260815) -> DataFrame:
+    """(keys, left_out, statistic, estimate, lo, hi, n_groups): paired_differences without each source that holds at least the given share of the
+    rows of its key, so of 1 / least sources at most."""
+    both = a.join(b.select(*on, F.col(measure).cast("double").alias("__b")), list(on)).withColumn("__d", F.col(measure).cast("double") - F.col("__b"))
+    n = both.groupBy(*keys, source).agg(F.count("__d").alias("n"))
+    major = n.join(n.groupBy(*keys).agg(F.sum("n").alias("tn")), list(keys)).where(F.col(source).isNotNull() & (F.col("n") >= least * F.col("tn"))).select(*keys, F.col(source).alias("left_out"))
+    rest = both.join(major, list(keys)).where(~F.col(source).eqNullSafe(F.col("left_out")))
+    return group_bootstrap(rest, [*keys, "left_out"], group, {"difference": F.col("__d")}, {"difference": F.when(F.col("__d").isNotNull(), 1)}, draws, seed)

@@ -9,7 +9,7 @@ from assayflow.functions.interval import INF, classify, concentration, interval_
 from assayflow.operators.aggregates import agreement_measures, best_constant, choose_threshold, concentration_of_groups, confusion, intersect_intervals, intraclass, leave_fold_out_mean, ranking_quality, score
 from assayflow.operators.joins import nearest_with, rule_match, side_by_side
 from assayflow.operators.models import nested_predictions
-from assayflow.operators.resample import group_bootstrap, leave_source_out, paired_differences
+from assayflow.operators.resample import group_bootstrap, leave_source_out, leave_source_out_intervals, paired_differences
 from assayflow.plans.common import Registry, sql_hash, table
 from assayflow.plans.views import MEAS_SQL, MEASURES_SQL, PRED_SQL, measurements, predictions, references
 
@@ -172,6 +172,15 @@ def without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leave_source_out(s.where("model = 1"), s.where("model = 2"), ["id"], ["drug"], "source", "hit", 0.10)
 
 
+LEFT_SQL = f"{PAIR_SQL}, n as (select drug, source, count(*) n from both_ group by 1, 2), major as (select n.drug, n.source left_out from n join (select drug, sum(n) tn from n group by 1) t using (drug) where n.source is not null and n.n >= 0.1 * tn), rest as (select b.drug, m.left_out, b.lineage, b.d from both_ b join major m on m.drug = b.drug and b.source is distinct from m.left_out)"
+
+
+@registry.query("leave_source_out_intervals", f"with {LEFT_SQL}, {BOOT_SQL.format(k='drug, left_out', src='rest', draws=DRAWS, sums='sum(d)::double x0, count(d)::double d0')}, drawn as (select drug, left_out, draw, sum(x0) / nullif(sum(d0), 0) v from picks join sums using (drug, left_out, j) group by 1, 2, 3), whole as (select drug, left_out, max(g) n_groups, sum(x0) / sum(d0) e from sums group by 1, 2) select drug, left_out, 'difference' statistic, round(max(e), 6) estimate, round(quantile_cont(v, 0.025), 6) lo, round(quantile_cont(v, 0.975), 6) hi, max(n_groups) n_groups from drawn join whole using (drug, left_out) group by 1, 2")
+def without_source_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = score(predictions(spark, sf_dir), "predicted", "lo", "hi").withColumn("hit", F.col("agrees").cast("int")).select("id", "drug", "lineage", "source", "model", "hit")
+    return leave_source_out_intervals(s.where("model = 1"), s.where("model = 2"), ["id"], ["drug"], "source", "lineage", "hit")
+
+
 @registry.query("intraclass_correlation", f"with {PRED_SQL}, x as (select drug, lineage, (error <= 1)::int::double x from scored where model = 1), g as (select drug, lineage, count(*)::double n, avg(x) m, var_pop(x) v from x group by 1, 2), t as (select drug, count(*)::double k, sum(n) nn, sum(n * n) n2, sum(n * v) ssw, sum(n * m) sx, sum(n * m * m) sxx from g group by drug), u as (select *, (sxx - sx * sx / nn) / nullif(k - 1, 0) msb, ssw / nullif(nn - k, 0) msw, (nn - n2 / nn) / nullif(k - 1, 0) m0, n2 / nn ms, sx / nn p from t), v as (select *, greatest(0, (msb - msw) / (msb + (m0 - 1) * msw)) icc from u) select drug, round(icc, 6) icc, round(ms, 6) group_size, round(1 + (ms - 1) * icc, 6) design_effect, round(p, 6) proportion, round(1.96 * sqrt(greatest(0, p * (1 - p)) * (1 + (ms - 1) * icc) / nn), 6) half_width from v")
 def intraclass_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score(predictions(spark, sf_dir).where("model = 1"), "predicted", "lo", "hi").withColumn("hit", F.col("agrees").cast("double"))

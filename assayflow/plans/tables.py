@@ -126,18 +126,36 @@ def lookup_with_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _n = lambda c: f"coalesce(lower(regexp_replace(trim({c}), '\\s+', ' ', 'g')), '')"
 
 
-@registry.query("exact_reconciliation", f"with a as (select distinct antibiogram_row_id, {_n('biosample_accession')} k0, {_n('antibiotic_raw')} k1, {_n('measurement_sign_raw')} k2, {_n('measurement_raw')} k3 from ncbi_biosample_antibiograms), b as (select k0, k1, k2, k3, count(*) n, min(id) p from (select distinct id, {_n('biosample')} k0, {_n('antibiotic')} k1, {_n('measurement_sign')} k2, {_n('mic_mg_l')} k3 from ast) where k0 <> '' group by all) select antibiogram_row_id, case when n = 1 then 'unique_match' when n > 1 then 'ambiguous_match' else 'no_match' end outcome, coalesce(n, 0) n_matches, case when n = 1 then p end partner from a left join b using (k0, k1, k2, k3)")
+# Fixed pairs: the columns of an antibiogram row and those of ast that must say the same, the key first.
+SAME_FIELDS = {"biosample_accession": "biosample", "antibiotic_raw": "antibiotic", "measurement_sign_raw": "measurement_sign", "measurement_raw": "mic_mg_l", "resistance_phenotype_raw": "resistance_phenotype", "laboratory_typing_method_raw": "laboratory_typing_method"}
+_keys = [f"k{i}" for i in range(len(SAME_FIELDS))]
+SAME_SQL = f"a as (select distinct antibiogram_row_id, {', '.join(f'{_n(c)} k{i}' for i, c in enumerate(SAME_FIELDS))} from ncbi_biosample_antibiograms), b as (select distinct id, {', '.join(f'{_n(c)} k{i}' for i, c in enumerate(SAME_FIELDS.values()))} from ast)"
+
+
+def same_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    norm = lambda d, key, names: d.select(key, *[F.coalesce(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")), F.lit("")).alias(n) for c, n in names]).distinct()
+    names = list(SAME_FIELDS.values())
+    return norm(table(spark, sf_dir, "ncbi_biosample_antibiograms"), "antibiogram_row_id", SAME_FIELDS.items()), norm(table(spark, sf_dir, "ast"), "id", zip(names, names, strict=True))
+
+
+@registry.query("exact_reconciliation", f"with {SAME_SQL}, g as (select {', '.join(_keys)}, count(*) n, min(id) p from b where k0 <> '' group by all) select antibiogram_row_id, case when n = 1 then 'unique_match' when n > 1 then 'ambiguous_match' else 'no_match' end outcome, coalesce(n, 0) n_matches, case when n = 1 then p end partner from a left join g using ({', '.join(_keys)})")
 def exact_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["biosample", "antibiotic", "measurement_sign", "mic_mg_l"]
-    a = table(spark, sf_dir, "ncbi_biosample_antibiograms").select("antibiogram_row_id", F.col("biosample_accession").alias("biosample"), F.col("antibiotic_raw").alias("antibiotic"), F.col("measurement_sign_raw").alias("measurement_sign"), F.col("measurement_raw").alias("mic_mg_l"))
-    norm = lambda d, key: d.select(key, *[F.coalesce(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")), F.lit("")).alias(c) for c in names]).distinct()
-    return reconcile(norm(a, "antibiogram_row_id"), "antibiogram_row_id", norm(table(spark, sf_dir, "ast"), "id"), "id", names)
+    """Antibiogram rows whose six fields equal those of tests of the same sample."""
+    a, b = same_fields(spark, sf_dir)
+    return reconcile(a, "antibiogram_row_id", b, "id", list(SAME_FIELDS.values()))
+
+
+@registry.query("reconciliation_histogram", f"with {SAME_SQL}, g as (select {', '.join(_keys)}, count(*) n from a where k0 <> '' group by all), r as (select coalesce(n, 0) n_matches from b left join g using ({', '.join(_keys)})) select n_matches, count(*) n_tests from r group by 1")
+def reconciliation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other way round: tests by the number of antibiogram rows that match them."""
+    a, b = same_fields(spark, sf_dir)
+    return reconcile(b, "id", a, "antibiogram_row_id", list(SAME_FIELDS.values())).groupBy("n_matches").agg(F.count("*").alias("n_tests"))
 
 
-@registry.query("identifier_overlap", "with a as (select distinct isolate_id k, unnest([{'t': 'biosample', 'v': biosample_accession}, {'t': 'assembly', 'v': assembly_accession}, {'t': 'isolate', 'v': isolate_id}]) i from isolate_metadata), b as (select distinct sequence_id k, unnest([{'t': 'biosample', 'v': biosample_accession}, {'t': 'assembly', 'v': sequence_accession}, {'t': 'isolate', 'v': isolate_id}]) i from sequence_requests), x as (select i.t t, i.v v, string_agg(distinct k, ';' order by k) ids from a where i.v is not null and trim(i.v) <> '' group by 1, 2), y as (select i.t t, i.v v, string_agg(distinct k, ';' order by k) ids from b where i.v is not null and trim(i.v) <> '' group by 1, 2) select x.t identifier_type, x.v identifier, x.ids a_ids, y.ids b_ids from x join y using (t, v)")
+@registry.query("identifier_overlap", "with a as (select distinct isolate_id k, unnest([{'t': 'biosample', 'v': biosample_accession}, {'t': 'assembly', 'v': assembly_accession}, {'t': 'isolate', 'v': isolate_id}, {'t': 'source', 'v': genome_source_accession}]) i from isolate_metadata), b as (select distinct sequence_id k, unnest([{'t': 'biosample', 'v': biosample_accession}, {'t': 'assembly', 'v': sequence_accession}, {'t': 'isolate', 'v': isolate_id}, {'t': 'source', 'v': sequence_accession}]) i from sequence_requests), x as (select i.t t, i.v v, string_agg(distinct k, ';' order by k) ids from a where i.v is not null and trim(i.v) <> '' group by 1, 2), y as (select i.t t, i.v v, string_agg(distinct k, ';' order by k) ids from b where i.v is not null and trim(i.v) <> '' group by 1, 2) select x.t identifier_type, x.v identifier, x.ids a_ids, y.ids b_ids from x join y using (t, v)")
 def identifiers_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return identifier_overlap(table(spark, sf_dir, "isolate_metadata"), "isolate_id", table(spark, sf_dir, "sequence_requests"), "sequence_id", {"biosample": (c("biosample_accession"), c("biosample_accession")), "assembly": (c("assembly_accession"), c("sequence_accession")), "isolate": (c("isolate_id"), c("isolate_id"))})
+    return identifier_overlap(table(spark, sf_dir, "isolate_metadata"), "isolate_id", table(spark, sf_dir, "sequence_requests"), "sequence_id", {"biosample": (c("biosample_accession"), c("biosample_accession")), "assembly": (c("assembly_accession"), c("sequence_accession")), "isolate": (c("isolate_id"), c("isolate_id")), "source": (c("genome_source_accession"), c("sequence_accession"))})
 
 
 PROFILE_SQL = "prof as (select p_partkey k, [p_size % 3, p_partkey % 4, (p_partkey // 4) % 3, (p_partkey // 12) % 3, (p_partkey // 36) % 3, (p_partkey // 108) % 3, (p_partkey // 324) % 3] p from part)"
@@ -226,7 +244,7 @@ def coverage_of_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 _s = "regexp_replace(lower(evaluation_split), '\\s+', '', 'g')"
 
 
-@registry.query("contract_report", f"with m as (select *, {_s} s, {sql_label('lineage_group')} l, {sql_label('genomic_cluster')} c from isolate_metadata) select rule, severity, n_rows from (select 'missing_isolate' rule, 'failure' severity, count(*) filter (isolate_id is null) n_rows from m union all select 'bad_sha256', 'failure', count(*) filter (not regexp_matches(coalesce(genome_sha256, ''), '^[0-9a-fA-F]{{64}}$')) from m union all select 'unknown_split', 'failure', count(*) filter (s is null or s not in ('development', 'external')) from m union all select 'missing_site', 'warning', count(*) filter (site is null) from m) union all select 'duplicate_isolate', 'failure', count(*) from (select isolate_id from m group by 1 having count(*) > 1 or isolate_id is null) union all select 'isolate_of_two_lineages', 'failure', count(*) from (select isolate_id from m where l is not null group by 1 having count(distinct l) > 1) union all select 'cluster_crosses_splits', 'failure', count(*) from (select c from m where s in ('development', 'external') and c is not null group by 1 having count(distinct s) > 1) union all select 'site_in_both_splits', 'warning', count(*) from (select site from m where s in ('development', 'external') and site is not null group by 1 having count(distinct s) > 1)")
+@registry.query("contract_report", f"with m as (select *, {_s} s, {sql_label('lineage_group')} l, {sql_label('genomic_cluster')} c from isolate_metadata) select rule, severity, n_rows from (select 'missing_isolate' rule, 'failure' severity, count(*) filter (isolate_id is null) n_rows from m union all select 'bad_sha256', 'failure', count(*) filter (not regexp_matches(coalesce(genome_sha256, ''), '^[0-9a-fA-F]{{64}}$')) from m union all select 'unknown_split', 'failure', count(*) filter (s is null or s not in ('development', 'external')) from m union all select 'missing_site', 'warning', count(*) filter (site is null) from m) union all select 'duplicate_isolate', 'failure', count(*) from (select isolate_id from m group by 1 having count(*) > 1 or isolate_id is null) union all select 'isolate_of_two_lineages', 'failure', count(*) from (select isolate_id from m where l is not null group by 1 having count(distinct l) > 1) union all select 'biosample_of_two_isolates', 'failure', count(*) from (select biosample_accession from m where isolate_id is not null and biosample_accession is not null group by 1 having count(distinct isolate_id) > 1) union all select 'network_in_both_splits', 'warning', count(*) from (select surveillance_network from m where s in ('development', 'external') and surveillance_network is not null group by 1 having count(distinct s) > 1) union all select 'cluster_crosses_splits', 'failure', count(*) from (select c from m where s in ('development', 'external') and c is not null group by 1 having count(distinct s) > 1) union all select 'site_in_both_splits', 'warning', count(*) from (select site from m where s in ('development', 'external') and site is not null group by 1 having count(distinct s) > 1)")
 def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row rules counted in one pass; keys, dependencies and crossing groups as violations."""
     m = table(spark, sf_dir, "isolate_metadata").withColumns({"s": F.lower(F.regexp_replace("evaluation_split", r"\s+", "")), "l": label_key(F.col("lineage_group")), "c": label_key(F.col("genomic_cluster"))})
@@ -237,6 +255,8 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         validation_report(m, rules)
         .unionByName(count(duplicate_keys(m, ["isolate_id"]), "duplicate_isolate", "failure"))
         .unionByName(count(dependency_violations(m, "isolate_id", "l"), "isolate_of_two_lineages", "failure"))
+        .unionByName(count(dependency_violations(m, "biosample_accession", "isolate_id"), "biosample_of_two_isolates", "failure"))
+        .unionByName(count(shared_values(known, "surveillance_network", "s"), "network_in_both_splits", "warning"))
         .unionByName(count(crossing_groups(known, "c", "s"), "cluster_crosses_splits", "failure"))
         .unionByName(count(shared_values(known, "site", "s"), "site_in_both_splits", "warning"))
     )
