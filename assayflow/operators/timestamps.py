@@ -197,8 +197,8 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
         zones = [] if zone is None else known_zones(df, zone)
     null = F.lit(None).cast("string")
     # what is used more than once is a column of its own, so that the plan holds each expression once
-    p = df.withColumn(plain, _plain(F.col(f"`{text}`"))).withColumn(shape, _shape(F.col(plain)))
-    p = p.withColumn(ts, F.when(F.col(shape).isNotNull(), _parse(F.col(shape), F.col(plain), F.lower(F.trim(F.col(f"`{order}`"))) if order else null)))
+    p = df.withColumn(plain, _plain(F.col(f"`{text}`"))).withColumn(shape, computed_once(_shape(F.col(plain))))
+    p = p.withColumn(ts, computed_once(F.when(F.col(shape).isNotNull(), _parse(F.col(shape), F.col(plain), F.lower(F.trim(F.col(f"`{order}`"))) if order else null))))
     x = lambda k: F.col(f"{ts}.{k}")
     kind = x("kind")
     dated = kind.isin("y", "ym", "ymd", "local") & is_date(x("y"), x("m"), x("d"))
@@ -209,9 +209,11 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, orde
     minutes = F.when(x("zone").rlike(r"^[+-]"), (digits.substr(1, 2).try_cast("int") * 60 + F.coalesce(digits.substr(3, 2).try_cast("int"), F.lit(0))) * F.when(x("zone").startswith("-"), -1).otherwise(1)).otherwise(F.try_element_at(abbreviations, x("zone")))
     minutes = F.when(minutes.between(-18 * 60, 18 * 60), minutes)
     local = x("zone").isNull()
-    p = p.withColumn(secs_, secs)
+    p = p.withColumn(secs_, computed_once(secs))
     p = p.withColumn(year, F.when(local & F.col(secs_).isNotNull(), F.year(F.date_from_unix_date(idiv(F.col(secs_), 86400).cast("int")))))
-    p = p.withColumn(zone_, F.col(f"`{zone}`") if zone else null).withColumn(like, like_year(F.col(year)))
+    # the optimizer follows join keys down to the scan, writing out all that they are made of; a generator is where it stops
+    keys = F.struct((F.col(f"`{zone}`") if zone else null).alias(zone_), like_year(F.col(year)).alias(like))
+    p = p.select("*", F.inline(F.array(keys)))
     table = interval_table(spark, zones).toDF(zone_, like, spans_)  # at most the tz database: some 600 zones of 329 years
     p = p.join(F.broadcast(table) if len(zones) <= 100 else table, [zone_, like], "left")
     L, spans = F.col(secs_), F.col(spans_)
