@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from assayflow.operators.contracts import duplicate_keys, refuse
 
 SMALL = 8 << 20  # bytes of a side that may be broadcast
+FANS = 64  # tasks that pairs of many rows are spread over; their tables are small, and would be coalesced into few
 
 
 def small_side(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -81,14 +82,30 @@ def identifier_overlap(a: DataFrame, a_id: str, b: DataFrame, b_id: str, identif
     return long(a, a_id, 0, "a_ids").join(long(b, b_id, 1, "b_ids"), ["identifier_type", "identifier"])
 
 
+def whole_profiles(profiles: DataFrame, key: str, profile: str) -> DataFrame:
+    """(k, p) of the profiles (arrays of one length) without a null place."""
+    return profiles.where(F.col(profile).isNotNull() & ~F.exists(profile, lambda x: x.isNull())).select(F.col(key).alias("k"), F.col(profile).alias("p"))
+
+
+def holes_of(profiles: DataFrame, *also: str) -> DataFrame:
+    """(hole, v, p, also): each profile p with one place left out, once for each place, and the value v of that place. Whole profiles only."""
+    holes = profiles.select("p", *also, F.posexplode("p").alias("at", "v"))
+    return holes.select(F.struct("at", F.transform("p", lambda x, i: F.when(i != F.col("at"), x)).alias("rest")).alias("hole"), "v", "p", *also)
+
+
 def one_apart(profiles: DataFrame, key: str, profile: str) -> DataFrame:
-    """(a, b), a < b: profiles (arrays of one length) that differ in exactly one place. An equi-join on each profile with one place left
-    out, instead of comparing all pairs; profiles with a null place are in no pair."""
-    p = profiles.where(F.col(profile).isNotNull() & ~F.exists(profile, lambda x: x.isNull())).select(F.col(key).alias("k"), F.col(profile).alias("p"))
-    holes = p.select("k", "p", F.posexplode("p").alias("at", "v")).withColumn("hole", F.concat_ws("|", F.col("at").cast("string"), F.array_join(F.transform(F.col("p"), lambda x, i: F.when(i == F.col("at"), F.lit("*")).otherwise(x.cast("string"))), "|")))
-    left = holes.select(F.col("k").alias("a"), "hole", F.col("v").alias("va"))
-    right = holes.select(F.col("k").alias("b"), "hole", F.col("v").alias("vb"))
-    return left.join(right, "hole").where("a < b and va <> vb").select("a", "b").distinct()
+    """(a, b), a < b: profiles (arrays of one length) that differ in exactly one place, a row for each pair of rows; profiles with a null
+    place are in no pair. Different profiles meet by an equi-join on each with one place left out; two profiles that differ in one place have one
+    such form in common, so no pair comes twice. Then each pair of profiles meets its keys, so rows that share a profile cost nothing but
+    their own pairs, which are not sorted or sent again."""
+    whole = whole_profiles(profiles, key, profile)
+    holes = holes_of(whole.select("p").distinct())
+    left, right = holes.select("hole", F.col("p").alias("pa"), F.col("v").alias("va")), holes.select("hole", F.col("p").alias("pb"), F.col("v").alias("vb"))
+    near = left.hint("merge").join(right, "hole").where("va < vb").select("pa", "pb")
+    of = lambda k, p: whole.select(F.col("k").alias(k), F.col("p").alias(p))
+    half = near.hint("merge").join(of("ka", "pa"), "pa").select("ka", "pb")
+    pairs = half.repartition(FANS, "pb").hint("merge").join(of("kb", "pb").repartition(FANS, "pb"), "pb").where("ka <> kb")
+    return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -53,6 +53,15 @@ def test_one_apart_against_all_pairs(spark):
     assert got == {(a, b) for a, p in ps for b, q in ps if a < b and None not in p + q and sum(x != y for x, y in zip(p, q, strict=True)) == 1}
 
 
+def test_one_apart_does_not_shuffle_its_pairs(spark):
+    """Rows that share a profile: each pair of rows once, repeated rows too, and no exchange or sort above the join that makes the pairs."""
+    ps = [(i, [str(i % 2), "x|y", "z"]) for i in range(6)] + [(0, ["0", "x|y", "z"]), (50, ["9", "x", "y|z"])]
+    df = joins.one_apart(spark.createDataFrame(ps, "k int, p array<string>"), "k", "p")
+    assert sorted((x.a, x.b) for x in df.collect()) == sorted((a, b) for a, p in ps for b, q in ps if a < b and sum(x != y for x, y in zip(p, q, strict=True)) == 1)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+
+
 @pytest.mark.parametrize(("rows", "want"), [
     ([("=", 2.0, "u")], ("single", "=", 2.0)), ([("<=", 2.0, "u"), ("<", 2.0, "u")], ("interval_intersection", "<", 2.0)), ([(">", 2.0, "u"), (">=", 2.0, "u")], ("interval_intersection", ">", 2.0)),
     ([(">=", 2.0, "u"), ("<=", 2.0, "u")], ("interval_intersection", "=", 2.0)), ([(">", 2.0, "u"), ("<=", 2.0, "u")], ("discordant_repeat_measurements", None, None)), ([(">", 2.0, "u"), ("<=", 4.0, "u")], ("repeat_not_representable", None, None)),
