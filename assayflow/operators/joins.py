@@ -108,6 +108,18 @@ def one_apart(profiles: DataFrame, key: str, profile: str) -> DataFrame:
     return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
 
 
+def links_one_apart(profiles: DataFrame, key: str, profile: str) -> DataFrame:
+    """(a, b): a few links that join the same keys to groups as the pairs of one_apart, at most one for each row and each place of a different
+    profile. Profiles that are alike but for one place are all pairs of one another, and so are their keys, directly or through the other
+    profile: each is tied to the least key there. A profile that no other is next to ties nothing, though several keys may have it."""
+    whole = whole_profiles(profiles, key, profile)
+    holes = holes_of(whole.groupBy("p").agg(F.min("k").alias("first")), "first")
+    met = holes.groupBy("hole").agg(F.min("first").alias("a"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("hole", "a")
+    tied = holes.hint("merge").join(met, "hole").select("a", F.col("first").alias("b"), "p")
+    own = tied.groupBy("p").agg(F.min("b").alias("a")).hint("merge").join(whole, "p").select("a", F.col("k").alias("b"))
+    return tied.select("a", "b").unionByName(own).where("a <> b").distinct()
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each key in a total order; limited in each task before the shuffle."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= k).drop("__rn")

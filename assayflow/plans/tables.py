@@ -11,7 +11,7 @@ from assayflow.operators.contracts import crossing_groups, dependency_violations
 from assayflow.operators.features import cosine, feature_sets, first_calls, hierarchy, mean_vectors, supported
 from assayflow.operators.folds import assign_folds
 from assayflow.operators.graph import dense_labels, leakage_units, linked_groups, profile_groups, ranked, star_links
-from assayflow.operators.joins import identifier_overlap, lookup_join, one_apart, reconcile, top_k
+from assayflow.operators.joins import identifier_overlap, links_one_apart, lookup_join, one_apart, reconcile, top_k
 from assayflow.operators.routing import all_matches, first_match
 from assayflow.operators.sequences import base_counts, content_addressed, reverse_complement, windows
 from assayflow.plans.common import Registry, sql_hash, sql_label, table
@@ -178,7 +178,7 @@ def profiles_one_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
 def groups_of_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = profiles(spark, sf_dir)
     weight = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("w"))
-    return profile_groups(p.join(weight, "k", "left").na.fill({"w": 0}), "k", one_apart(p, "k", "p"), "w")
+    return profile_groups(p.join(weight, "k", "left").na.fill({"w": 0}), "k", links_one_apart(p, "k", "p"), "w")
 
 
 PAIRS_SQL = """pr as (select case when lower(trim(development_sequence_id)) not in ('', 'na') then regexp_replace(lower(development_sequence_id), '\\s+', '', 'g') end a, case when lower(trim(external_sequence_id)) not in ('', 'na') then regexp_replace(lower(external_sequence_id), '\\s+', '', 'g') end b, ani_percent ani, least(aligned_fraction_development, aligned_fraction_external) af from collision_pairs),

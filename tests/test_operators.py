@@ -62,6 +62,18 @@ def test_one_apart_does_not_shuffle_its_pairs(spark):
     assert "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_links_make_the_groups_of_all_pairs(spark):
+    """Sparse links against all pairs: alone with a twin, keys with two profiles, null places; and no more links than rows and places."""
+    r = random.Random(11)
+    for kinds in (2, 4, 9):
+        ps = [(r.randrange(70), [r.randrange(kinds) for _ in range(3)]) for _ in range(60)] + [(99, [None, 1, 1]), (101, [50, 51, 52]), (102, [50, 51, 52]), (5, [50, 51, 52])]
+        df = spark.createDataFrame(ps, "k int, p array<int>")
+        links = [(x.a, x.b) for x in joins.links_one_apart(df, "k", "p").collect()]
+        group = lambda edges: {k: v.root for k, v in ((x.id, x) for x in graph.linked_groups(spark.createDataFrame(edges, "a int, b int"), "a", "b", df, "k").collect())}  # noqa: E731, B023
+        assert group(links) == group([(x.a, x.b) for x in joins.one_apart(df, "k", "p").collect()])
+        assert len(links) <= 4 * len(ps)
+
+
 @pytest.mark.parametrize(("rows", "want"), [
     ([("=", 2.0, "u")], ("single", "=", 2.0)), ([("<=", 2.0, "u"), ("<", 2.0, "u")], ("interval_intersection", "<", 2.0)), ([(">", 2.0, "u"), (">=", 2.0, "u")], ("interval_intersection", ">", 2.0)),
     ([(">=", 2.0, "u"), ("<=", 2.0, "u")], ("interval_intersection", "=", 2.0)), ([(">", 2.0, "u"), ("<=", 2.0, "u")], ("discordant_repeat_measurements", None, None)), ([(">", 2.0, "u"), ("<=", 4.0, "u")], ("repeat_not_representable", None, None)),
