@@ -62,58 +62,99 @@ def ends_of(lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return np.concatenate([lo[a], hi[b]]), np.concatenate([weight[a], weight[b]])
 
 
-def objective(theta: np.ndarray, x: np.ndarray | Indicators, lo: np.ndarray, hi: np.ndarray, penalty: float, weight: np.ndarray | float = 1.0) -> tuple[float, np.ndarray]:
-    """Penalised negative log likelihood of intervals (lo - 1, hi] and its gradient; theta is intercept, log sigma, slopes."""
-    sigma = math.exp(theta[1])
-    mu = theta[0] + x @ theta[2:]
+def likelihood(mu: np.ndarray, log_sigma: float, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each interval (lo - 1, hi]: probability, and first and second derivatives of its negative log by mu and log sigma (mu, s, mu mu, mu s, s s)."""
+    sigma = math.exp(log_sigma)
     a, b = (lo - 1 - mu) / sigma, (hi - mu) / sigma
     p = interval_probability(a, b)
     fa, fb = density(a), density(b)
     live = p > FLOOR
     inside = np.where(np.isfinite(lo), np.where(np.isfinite(hi), (lo + hi) / 2, lo), hi)
-    dmu = np.where(live, (fb - fa) / (p * sigma), np.clip(mu - inside, -1, 1) / sigma)
-    fin = lambda z, f: np.where(np.isfinite(z), z, 0.0) * f
-    dsig = np.where(live, (fin(b, fb) - fin(a, fa)) / p, -1.0)
-    dmu, dsig = dmu * weight, dsig * weight
-    beta = theta[2:]
-    grad = np.concatenate([[dmu.sum()], [dsig.sum()], x.T @ dmu + 2 * penalty * beta])
-    return float(-(np.log(p) * weight).sum() + penalty * beta @ beta), grad
+    a, b = np.where(np.isfinite(a), a, 0.0), np.where(np.isfinite(b), b, 0.0)
+    afa, bfb = a * fa, b * fb
+    r = (bfb - afa) / p
+    g = (fb - fa) / (p * sigma)
+    dmu = np.where(live, g, np.clip(mu - inside, -1, 1) / sigma)
+    dsig = np.where(live, r, -1.0)
+    mm = np.where(live, np.maximum(r / sigma**2 + g * g, 0.0), 0.0)
+    ms = np.where(live, (b * bfb - a * afa) / (p * sigma) - g + g * r, 0.0)
+    ss = np.where(live, (b * b * bfb - a * a * afa) / p - r + r * r, 0.0)
+    return p, dmu, dsig, mm, ms, ss
 
 
-def fit_ridge(x: np.ndarray | Indicators, lo: np.ndarray, hi: np.ndarray, penalty: float, rounds: int = 200, weight: np.ndarray | None = None) -> np.ndarray:
-    """Minimum by limited-memory quasi-Newton steps with backtracking; log sigma stays within its bounds."""
+def objective(theta: np.ndarray, x: np.ndarray | Indicators, lo: np.ndarray, hi: np.ndarray, penalty: float, weight: np.ndarray | float = 1.0) -> tuple[float, np.ndarray]:
+    """Penalised negative log likelihood of intervals (lo - 1, hi] and its gradient; theta is intercept, log sigma, slopes."""
+    return curved(theta, x, lo, hi, penalty, weight)[:2]
+
+
+def curved(theta: np.ndarray, x: np.ndarray | Indicators, lo: np.ndarray, hi: np.ndarray, penalty: float, weight: np.ndarray | float = 1.0) -> tuple[float, np.ndarray, tuple[np.ndarray, ...]]:
+    """objective() and the weighted second derivatives of its rows (mu mu, mu s, s s)."""
+    beta = theta[2:]
+    p, dmu, dsig, *second = likelihood(theta[0] + x @ beta, theta[1], lo, hi)
+    dmu, dsig = dmu * weight, dsig * weight
+    grad = np.concatenate([[dmu.sum()], [dsig.sum()], x.T @ dmu + 2 * penalty * beta])
+    return float(-(np.log(p) * weight).sum() + penalty * beta @ beta), grad, tuple(h * weight for h in second)
+
+
+def newton_step(x: np.ndarray | Indicators, grad: np.ndarray, second: tuple[np.ndarray, ...], penalty: float, free: bool, most: int = 60) -> np.ndarray:
+    """The step that the second derivatives give, by preconditioned conjugate gradients; cut short where the curvature is not positive.
+    Log sigma stays where it is unless free."""
+    mm, ms, ss = second
+    places = x if isinstance(x, Indicators) else x * x
+    cross, bend = x.T @ ms, ss.sum()
+    scale = np.concatenate([[max(mm.sum(), 1e-9)], [max(bend, 1e-9 + abs(grad[1]))], places.T @ mm + 2 * penalty + 1e-9])
+    on = np.ones(len(grad))
+    on[1] = float(free)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        u = mm * (v[0] + x @ v[2:]) + ms * v[1]
+        return on * np.concatenate([[u.sum()], [ms.sum() * v[0] + cross @ v[2:] + bend * v[1]], x.T @ u + 2 * penalty * v[2:]])
+
+    step, left = np.zeros(len(grad)), on * grad
+    z = left / scale
+    way, size = z.copy(), left @ z
+    stop = min(0.01, math.sqrt(abs(size))) ** 2 * size
+    for _ in range(most):
+        if size <= stop:
+            break
+        h = times(way)
+        c = way @ h
+        if c <= 0:
+            return step if step.any() else z
+        step = step + size / c * way
+        left = left - size / c * h
+        z = left / scale
+        size, before = left @ z, size
+        way = z + size / before * way
+    return step
+
+
+def fit_ridge(x: np.ndarray | Indicators, lo: np.ndarray, hi: np.ndarray, penalty: float, rounds: int = 200, weight: np.ndarray | None = None, start: np.ndarray | None = None) -> np.ndarray:
+    """Minimum by truncated Newton steps with backtracking, from start if there is one; log sigma stays within its bounds."""
     w = np.ones(len(lo)) if weight is None else weight
-    theta = np.zeros(x.shape[1] + 2)
-    theta[0], theta[1] = middle(*ends_of(lo, hi, w)), math.log(2)
-    bound = lambda t: np.concatenate([t[:1], [min(max(t[1], math.log(SIGMA[0])), math.log(SIGMA[1]))], t[2:]])
-    value, grad = objective(theta, x, lo, hi, penalty, w)
-    memory: list[tuple[np.ndarray, np.ndarray]] = []
+    least, most = map(math.log, SIGMA)
+    if start is None:
+        theta = np.zeros(x.shape[1] + 2)
+        theta[0], theta[1] = middle(*ends_of(lo, hi, w)), math.log(2)
+    else:
+        theta = start
+    bound = lambda t: np.concatenate([t[:1], [min(max(t[1], least), most)], t[2:]])
+    value, grad, second = curved(theta, x, lo, hi, penalty, w)
     for _ in range(rounds):
-        q, parts = grad.copy(), []
-        for s, y in reversed(memory):
-            k = (s @ q) / (s @ y)
-            parts.append(k)
-            q -= k * y
-        if memory:
-            s, y = memory[-1]
-            q *= (s @ y) / (y @ y)
-        for (s, y), k in zip(memory, reversed(parts), strict=True):
-            q += s * (k - (y @ q) / (s @ y))
-        step, found = 1.0 if memory else 1.0 / max(1.0, np.abs(grad).sum()), False
+        free = not (theta[1] <= least and grad[1] > 0 or theta[1] >= most and grad[1] < 0)
+        way, step, found = newton_step(x, grad, second, penalty, free), 1.0, False
+        way[1] = min(max(way[1], -1.0), 1.0)
         for _ in range(30):
-            new = bound(theta - step * q)
-            v, g = objective(new, x, lo, hi, penalty, w)
+            new = bound(theta - step * way)
+            v, g, h = curved(new, x, lo, hi, penalty, w)
             if v <= value - 1e-4 * (grad @ (theta - new)):
                 found = True
                 break
             step /= 2
         if not found:
             break
-        s, y = new - theta, g - grad
-        if s @ y > 1e-12:
-            memory = [*memory[-7:], (s, y)]
         done = value - v < 1e-9 * max(1.0, abs(value))
-        theta, value, grad = new, v, g
+        theta, value, grad, second = new, v, g, h
         if done:
             break
     return theta
@@ -207,7 +248,8 @@ def nested_predictions(df: DataFrame, topic: str, record: str, group: str, fold:
 
     Features of the training folds with enough records make the vocabulary; groups never cross inner folds. The choice has the best share of
     predictions within one dilution, the stronger penalty (or smaller model) of equals. One task for each topic and fold, over the distinct
-    rows of (group, fold, lo, hi, features) with their numbers of records; only ridge keeps its features as places.
+    rows of (group, fold, lo, hi, features) with their numbers of records, and the distinct ones of (inner fold, lo, hi, vocabulary) in the fits;
+    only ridge keeps its features as places.
     """
     from assayflow.operators.folds import tie_order
 
@@ -219,8 +261,8 @@ def nested_predictions(df: DataFrame, topic: str, record: str, group: str, fold:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     places = indicators if learner == "ridge" else matrix
 
-    def fit(x: np.ndarray | Indicators, a: np.ndarray, b: np.ndarray, w: np.ndarray, p: float) -> object:
-        return fit_ridge(x, a, b, p, weight=w) if learner == "ridge" else fit_boosted(x, a, b, trees=100, depth=int(p), weight=w)
+    def fit(x: np.ndarray | Indicators, a: np.ndarray, b: np.ndarray, w: np.ndarray, p: float, start: object = None) -> object:
+        return fit_ridge(x, a, b, p, weight=w, start=start) if learner == "ridge" else fit_boosted(x, a, b, trees=100, depth=int(p), weight=w)
 
     def agreement(model: object, x: np.ndarray | Indicators, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
         p = np.floor(predict(model, x) + 0.5)
@@ -228,29 +270,37 @@ def nested_predictions(df: DataFrame, topic: str, record: str, group: str, fold:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # one order whatever the partitions, so that sums come out alike
-        order = sorted(range(len(pdf)), key=lambda i: (str(pdf[group].iat[i]), str(pdf[fold].iat[i]), pdf[lo].iat[i], pdf[hi].iat[i], [str(f) for f in pdf[features].iat[i]] if pdf[features].iat[i] is not None else []))
-        pdf = pdf.iloc[order]
+        said = pdf[features].map(lambda fs: "" if fs is None else "\0".join(map(str, fs)))
+        keys = pd.DataFrame({"g": pdf[group].map(str), "f": pdf[fold].map(str), "lo": pdf[lo], "hi": pdf[hi], "x": said}).reset_index(drop=True)
+        pdf = pdf.iloc[keys.sort_values(["g", "f", "lo", "hi", "x"]).index]
         out = pdf[pdf[fold] == pdf["__f"]]
         train = pdf[pdf[fold] != pdf["__f"]]
         if out.empty or train.empty:
             return pd.DataFrame({topic: [], fold: [], features: [], "predicted": [], "choice": []}).astype({"predicted": float, "choice": float})
         out = out.loc[~out[features].map(lambda fs: None if fs is None else tuple(fs)).duplicated()]
-        w = train["__w"].to_numpy(float)
         words = vocabulary_of(list(train[features]), least, list(train["__w"]))
-        x, a, b = places(list(train[features]), words), train[lo].to_numpy(float), train[hi].to_numpy(float)
         sizes = train.groupby(group)["__w"].sum().to_dict()
         load, place = [0] * inner, {}
         for g in sorted(sizes, key=lambda g: (-sizes[g], tie_order(20260815, str(g)))):
             f = load.index(min(load))
             place[g] = f
             load[f] += sizes[g]
-        at = train[group].map(place).to_numpy()
-        best, choice = -1.0, grid[0]
-        for p in grid if len(set(at)) > 1 else ():
-            hits = sum(agreement(fit(x[at != f], a[at != f], b[at != f], w[at != f], p), x[at == f], a[at == f], b[at == f], w[at == f]) for f in sorted(set(at)))
-            if hits > best:
-                best, choice = hits, p
-        model = fit(x, a, b, w, choice)
+        # rows that are alike once rare features are gone are one
+        known = set(words)
+        kept = train[features].map(lambda fs: () if fs is None else tuple(f for f in fs if f in known))
+        rows = pd.DataFrame({"at": train[group].map(place), "a": train[lo].astype(float), "b": train[hi].astype(float), "x": kept, "w": train["__w"].astype(float)})
+        rows = rows.groupby(["at", "a", "b", "x"], sort=False, dropna=False)["w"].sum().reset_index()
+        at, a, b, w = (rows[c].to_numpy() for c in ("at", "a", "b", "w"))
+        x = places(list(rows["x"]), words)
+        hits = np.zeros(len(grid))
+        model = None
+        for f in sorted(set(at)) if len(set(at)) > 1 else ():
+            model = None
+            for i, p in enumerate(grid):  # each penalty goes on from the fit before
+                model = fit(x[at != f], a[at != f], b[at != f], w[at != f], p, model)
+                hits[i] += agreement(model, x[at == f], a[at == f], b[at == f], w[at == f])
+        choice = grid[int(hits.argmax())]  # the first of equals
+        model = fit(x, a, b, w, choice, model)
         return pd.DataFrame({topic: out[topic], fold: out[fold], features: out[features], "predicted": predict(model, places(list(out[features]), words)), "choice": float(choice)})
 
     feature_kind = rows.schema[features].dataType.simpleString()

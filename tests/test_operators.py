@@ -164,6 +164,24 @@ def test_gradient_and_fit():
     assert a.shape == (300, 2) and np.allclose(a[:5], b)
 
 
+def test_ridge_ends_at_its_minimum(monkeypatch):
+    """Features that sum to one and a small penalty: the gradient vanishes after few evaluations, from a start of another penalty too."""
+    r = np.random.default_rng(1)
+    group, site = r.integers(0, 40, 800), r.integers(0, 6, 800)
+    y = np.round(r.normal(group % 5, 1.0) + site % 2)
+    lo, hi = np.where(y < 0, -np.inf, y), np.where(y > 4, np.inf, y)
+    x = models.Indicators(np.tile(np.arange(800), 2), np.concatenate([group, 40 + site]), (800, 46))
+    calls = []
+    monkeypatch.setattr(models, "interval_probability", lambda a, b, f=models.interval_probability: calls.append(1) or f(a, b))
+    theta = None
+    for penalty in (100.0, 0.1, 0.001):
+        theta = models.fit_ridge(x, lo, hi, penalty, start=theta)
+        value, grad = models.objective(theta, x, lo, hi, penalty)
+        assert np.abs(grad).max() < 1e-2
+    assert models.objective(models.fit_ridge(x, lo, hi, 0.001), x, lo, hi, 0.001)[0] == pytest.approx(value, abs=1e-4)
+    assert len(calls) < 80
+
+
 def test_nested_predictions(spark):
     r = random.Random(0)
     rows = []
