@@ -68,6 +68,30 @@ def test_short_items_leak_too(spark):
     assert {(x.doc_id, x.item) for x in leaked_items(d, "doc_id", "text", i, "item", "body").collect()} == {(0, 1), (1, 2), (2, 3)}
 
 
+def test_passages_leak_however_common_they_are(spark):
+    """A half of an item in a third of all documents, and an item of phrases that stand in many documents, against runs compared word by word."""
+    r = random.Random(23)
+    vocab = ["".join(r.choice("abdegklmnorstu") for _ in range(6)) for _ in range(4000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    phrases = [text(12) for _ in range(6)]
+    items = [(1, text(100)), (2, " ".join(f"{p} {text(1)}" for p in phrases)), (3, text(80))]
+    half, third = " ".join(items[0][1].split()[:58]), " ".join(items[0][1].split()[:33])
+    joined = " ".join(items[1][1].split()[:44])
+    docs = [(k, f"{text(40)} {half if k < 40 else ' '} {text(40)}") for k in range(60)]
+    docs += [(100 + k, f"{text(30)} {phrases[k % 6]} {text(30)} {phrases[(k + 2) % 6]} {text(9)}") for k in range(60)]
+    docs += [(200, f"{text(20)} {joined} {text(20)}"), (201, f"{text(20)} {third} {text(20)}"), (202, items[1][1]), (203, f"{text(50)} {items[2][1]}")]
+
+    def holds(item: str, doc: str) -> bool:
+        a, b = words(item), words(doc)
+        runs = {tuple(b[j : j + 10]) for j in range(len(b) - 9)}
+        return 2 * len({p + k for p in range(len(a) - 9) if tuple(a[p : p + 10]) in runs for k in range(10)}) >= len(a)
+
+    want = {(k, i) for k, d in docs for i, t in items if holds(t, d)}
+    assert {(k, 1) for k in range(40)} | {(200, 2), (202, 2), (203, 3)} == want
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item long, body string")
+    assert {(x.doc_id, x.item) for x in leaked_items(d, "doc_id", "text", i, "item", "body").collect()} == want
+
+
 def test_distance_is_a_metric():
     r = random.Random(4)
     ws = ["".join(r.choice("abc") for _ in range(r.randrange(7))) for _ in range(25)]
