@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm.language import fit_on, label_code, segment_languages
+from assayflow.llm.language import find_sentences, fit_found, label_code, segments_of
 from assayflow.plans.common import Registry, table
+from assayflow.workspace import materialise
 
 registry = Registry()
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return segment_languages(docs, "doc_id", "text", fit_on(docs, "doc_id", "text", "lang"))
+    found, _ = materialise(find_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "sentences")
+    return segments_of(found, "doc_id", fit_found(found))
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,37 @@ def test_wrong_labels_do_not_teach():
         assert {m.languages[i] for i in lang.score(m, texts)[0].argmax(axis=1)} == {true}
 
 
+def test_models_know_all_labelled_documents(spark):
+    """The models are those of every labelled document, to its end, made in one process; 300 documents of a language, some over 20,000 characters."""
+    import zlib
+
+    import numpy as np
+
+    r, names = random.Random(5), list(SAMPLES)
+    rare = {"en": "Quixotic zebrafish jumped over.", "de": "Jähzornige Äffchen quälten Büffel.", "fr": "Voyez çà, œuvres kiwi où."}
+    docs = []
+    for i in range(900):
+        true = names[i % 3]
+        label = names[(i + 1) % 3] if r.random() < 0.1 else true
+        own = " ".join(" ".join(r.sample(x := r.choice(SAMPLES[true]).rstrip(".").split(), len(x))).capitalize() + "." for _ in range(4))
+        if i >= 891:
+            own, label = "TOB <=1 R\n" * 2200 + own + " " + rare[true], true
+        docs.append((i, own, label))
+    d = spark.createDataFrame([*docs, (2000, docs[0][1], None), (2001, None, "en"), (2002, "", "de")], "k long, t string, l string").repartition(3)
+    m = lang.fit_on(d, "k", "t", "l")
+    parts = {x.k: x.p for x in d.select("k", F.pmod(F.xxhash64("k"), F.lit(5)).alias("p")).collect()}
+    kept = lang.agreeing([(lb, [p for _, _, p in lang.sentences(t)]) for _, t, lb in docs], part_of=[parts[k] for k, _, _ in docs])
+    whole = lang.fit(kept, lambda _, p: zlib.crc32(p.encode()) % 5 == 0)
+    assert m.languages == whole.languages == sorted(names) and m.alphabet == whole.alphabet
+    assert (m.keys == whole.keys).all() and (m.contexts == whole.contexts).all()
+    assert abs(m.reject - whole.reject) < 1e-4 and abs(m.scale / whole.scale - 1) < 1e-3
+    texts = [*rare.values(), *(t for ts in SAMPLES.values() for t in ts)]
+    assert np.allclose(lang.score(m, texts)[0], lang.score(whole, texts)[0], atol=2e-3)
+    assert sum(p.lower() in kept[k] for k, p in rare.items()) >= 2  # they stand after character 20,000 of the last documents
+    none = lang.fit_on(d.where("l is null"), "k", "t", "l")
+    assert none.languages == ["en"] and lang.fit_on(d.where("k < 0"), "k", "t", "l").languages == ["en"]
+
+
 def test_agreeing_edges():
     assert lang.agreeing([]) == {} and lang.agreeing([("en", []), ("de", [" "])]) == {}
     assert lang.agreeing([("en", ["One sentence alone."])]) == {"en": ["one sentence alone."]}
