@@ -191,6 +191,32 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+class Lookup:
+    """find() in keys by a hash table; keys that lost their place in it to another are found by bisection."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, bits = keys, max(12, (16 * len(keys)).bit_length())
+        self.shift, self.table = np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
+        self.table[self.place(keys)] = np.arange(len(keys))
+
+    def place(self, wanted: np.ndarray) -> np.ndarray:
+        return ((wanted.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.table[self.place(wanted)].astype(np.int64)
+        hit = self.keys[at] == wanted
+        rest = np.flatnonzero(~hit)
+        at[rest], hit[rest] = find(self.keys, wanted[rest])
+        return at, hit
+
+
+def lookup(of: Models | Votes) -> Lookup:
+    """Of the keys; made once in a process."""
+    if "made" not in of.__dict__:
+        of.made = Lookup(of.keys)
+    return of.made
+
+
 def score(m: Models, prose: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(mean log probability per character by language, characters) of each text."""
     if not prose:
@@ -200,7 +226,7 @@ def score(m: Models, prose: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum(ends - starts - (ORDER - 1), 1)
     grams = pack(codes, ORDER)  # number i ends at character i + ORDER - 1, so a text's own begin at its start
     zero = m.rows.shape[1] - 1
-    at, hit = find(m.keys, grams)
+    at, hit = lookup(m).find(grams)
     own = np.ones(len(grams), bool)
     for k in range(1, ORDER):  # the blanks that lead the next text aren't scored
         own[ends[:-1] - k] = False
@@ -374,8 +400,9 @@ class Votes:
 
     def of(self, texts: list[str], part: np.ndarray) -> np.ndarray:
         triples, of = char_triples(texts)
-        at = np.searchsorted(self.keys, triples) + part[of] * len(self.keys)
-        return np.stack([np.bincount(of, row[at], len(texts)) for row in self.logs]).argmax(axis=0)
+        at = lookup(self).find(triples)[0] + part[of] * len(self.keys)
+        starts = np.append(0, np.cumsum([len(t) for t in texts])[:-1])  # no text is empty
+        return np.stack([np.add.reduceat(row[at], starts) for row in self.logs]).argmax(axis=0)
 
 
 def votes_of(counts: DataFrame, keys: np.ndarray | None = None, names: list[str] | None = None) -> Votes:
