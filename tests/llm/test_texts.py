@@ -138,6 +138,37 @@ def test_places_in_several_shards(spark, monkeypatch):
     assert one["Tarsolin"] is None and sum(v is not None for v in one.values()) > 50
 
 
+def test_sentences_cost_what_they_are_long():
+    """A part with too few letters is left as soon as it is read, however its letters are spread, and texts take far less time than plain patterns do."""
+    import re
+    import time
+
+    def seconds(f) -> float:  # noqa: ANN001
+        took = []
+        for _ in range(5):
+            t = time.thread_time()
+            f()
+            took.append(time.thread_time() - t)
+        return min(took)
+
+    few = "a b c d e f g h i j k" + " -" * 4000 + " ."
+    assert lang.prose_of(few) is None and seconds(lambda: lang.prose_of(few)) < 50 * seconds(lambda: lang.LETTER.findall(few))
+
+    stop = re.compile(r"[.!?\u2026][\"'\u201d\u00bb)\]]*[\s\u200b]+(?=[^\W\da-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u044f]|[\d\[(\"'\u00ab\u201c])|[\u3002\uff01\uff1f]")
+    codes = re.compile(r"<[^<>]{1,20}>|\[[^\]]{0,60}\]|\([^)]{0,60}\)|(?:[A-Z]{2}-)?\d+(?:[.,/]\d+)*(?:\s?(?:mg/[lL]|мг/л))?")
+    r = random.Random(2)
+    pieces = ["The plate AB-12 was read", " (see 3)", " [x]", " <b>", ". ", ".\n", "。", "！？", " 4,5 mg/L", " ½ мг/л", "Größe", " Żaden", " X1-A-3 CD", "…\") ", "  ", "'", "漢字", "²3", "\u200b"]
+    texts = ["".join(r.choice(pieces) for _ in range(40)) for _ in range(300)]
+    for new, plain, text in ((lang.STOP, stop, texts), (lang.CODES, codes, texts)):
+        assert all([m.span() for m in new.finditer(t)] == [m.span() for m in plain.finditer(t)] for t in text)
+    prose = ["The plate was read twice because the sign was missing from the form that nobody had kept. " * 20] * 50
+    for new, plain in ((lang.STOP, stop), (lang.CODES, codes)):
+        assert seconds(lambda p=new: [p.sub("0", t) for t in prose]) < 0.8 * seconds(lambda p=plain: [p.sub("0", t) for t in prose])
+    for t in texts:
+        for p in (t, t.rstrip(), t + "." + "-" * 12, t + "." + "-" * 12 + "\n", t + "." + "-" * 13):
+            assert bool(lang.ENDED.search(p)) == bool(lang.ENDED.search(p, max(0, len(p) - 14)))
+
+
 SAMPLES = {
     "en": ["The plate was read twice because the sign was missing.", "Nobody in the laboratory noticed the warning until last year.", "We kept both values for the sample and reopened the entry.", "The incubator was replaced before the trays were moved."],
     "de": ["Die Platte wurde zweimal gelesen, weil das Vorzeichen fehlte.", "Niemand im Labor bemerkte die Warnung bis zum letzten Jahr.", "Wir behielten beide Werte der Probe und öffneten den Eintrag wieder.", "Der Brutschrank wurde ersetzt, bevor die Schalen weggebracht wurden."],
